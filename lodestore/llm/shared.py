@@ -1,15 +1,14 @@
-"""What the operators of this folder share: tables, the shared folder, normalised words."""
+"""What the operators of this folder share: tables, the shared folder of the core, normalised words."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_folder, written
+
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 
@@ -24,38 +23,4 @@ def words(text: str) -> list[str]:
     return _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, else the context's own, else a local one.
-
-    Only a session without either setting (a test on one machine) gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestore-"))
-    return jsc.getCheckpointDir().get()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already
-        pass
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder as Parquet and read back.
-
-    Cuts the lineage at a place that survives the loss of an executor, and unlike checkpoint() lets later
-    reads prune columns and push filters. The folder is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestore/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "table", "words", "written"]
