@@ -41,10 +41,10 @@ _PROTECTED = re.compile(
 )
 _HTML_TAG = r"(?:a|abbr|article|aside|b|big|blockquote|body|br|button|center|cite|code|dd|del|div|dl|dt|em|figure|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|li|link|main|mark|meta|nav|ol|p|q|s|section|small|span|strike|strong|sub|sup|table|tbody|td|tfoot|th|thead|title|tr|tt|u|ul)"
 _EVIDENCE = {
-    "latex": re.compile(r"\\(?:documentclass|begin|end|usepackage|title|author|(?:sub){0,2}section|(?:sub)?paragraph|chapter|part|textbf|textit|texttt|textsc|emph|underline|cite[pt]?|ref|eqref|label|href|footnote|url|caption)\*?\s*[\[{]|^\s*\\item\b|\\\((?=\S|\s).+?\\\)|\\\[.+?\\\]", re.M | re.S),
+    "latex": re.compile(r"\\(?:documentclass|begin|end|usepackage|title|author|(?:sub){0,2}section|(?:sub)?paragraph|chapter|part|textbf|textit|texttt|textsc|emph|underline|cite[pt]?|ref|eqref|label|href|footnote|url|caption)\*?\s*[\[{]|^\s*\\item\b|\\\((?:(?!\\\().)+?\\\)|\\\[(?:(?!\\\[).)+?\\\]", re.M | re.S),
     "html": re.compile(rf"</?{_HTML_TAG}(?:\s[^<>]*)?/?>|<!--|<!doctype\b", re.I),
-    "wiki": re.compile(r"^(={1,6})[ \t]*[^=\s](?:[^\n]*?[^=\s])?[ \t]*\1[ \t]*$|''[^'\n]+''|\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|\[https?://[^\s\]]+ [^\]\n]+\]|__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__|</?(?:ref|nowiki|gallery|references)\b[^>]*>|^\{\|", re.M),
-    "markdown": re.compile(r"^[ ]{0,3}#{1,6}[ \t]+\S|^[^\s\n][^\n]*\n[ ]{0,3}(?:={3,}|-{3,})[ \t]*$|(?<![\w*\\])(\*{1,3})(?=[^\s*])[^*\n]+?(?<=[^\s*])\1(?![\w*])|(?<![\w\\])(_{1,3})(?=[^\s_])(?!_{0,2}(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)_)[^\n]+?(?<=[^\s_])\2(?!\w)|(?<!~)~~(?=[^\s~])[^~\n]*~~|(?<![`\\])`(?=[^`\s])[^`\n]+`(?!`)|!?\[[^\]\n]+\]\([^)\s]+\)|\[\^[\w-]+\]|^[ ]{0,3}>[ \t]", re.M),
+    "wiki": re.compile(r"^(={1,6})[ \t]*[^=\s](?:[^\n]*?[^=\s])?[ \t]*\1[ \t]*$|''[^'\n]+''|\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|\[https?://[^\s\[\]]+ [^\[\]\n]+\]|__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__|</?(?:ref|nowiki|gallery|references)\b[^>]*>|^\{\|", re.M),
+    "markdown": re.compile(r"^[ ]{0,3}#{1,6}[ \t]+\S|^[^\s\n][^\n]*\n[ ]{0,3}(?:={3,}|-{3,})[ \t]*$|(?<![\w*\\])(\*{1,3})(?=[^\s*])[^*\n]+?(?<=[^\s*])\1(?![\w*])|(?<![\w\\])(_{1,3})(?=[^\s_])(?!_{0,2}(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)_)[^\n]+?(?<=[^\s_])\2(?!\w)|(?<!~)~~(?=[^\s~])[^~\n]*~~|(?<![`\\])`(?=[^`\s])[^`\n]+`(?!`)|!?\[[^\[\]\n]+\]\([^)\s]+\)|\[\^[\w-]+\]|^[ ]{0,3}>[ \t]", re.M),
 }
 _WEAK_LIST = re.compile(r"^[ \t]*(?:[*+-]|\d{1,9}[.)])[ \t]+\S", re.M)
 _DOLLAR = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]+?)(?<=[^\s$\\])\$(?![\w$])")
@@ -132,7 +132,7 @@ def _kinds(blocks: list[str], pieces: list[_Piece]) -> list[str | None]:
 
 # ---- the content region -------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"\x01(?P<piece>\d+)\x02|</?(?P<tag>[A-Za-z][A-Za-z0-9]*)\b[^<>]*>|(?P<comment><!--.*?-->)|\\(?P<command>[a-zA-Z]+)|(?P<wiki>\{\{|\}\}|\[\[|\]\]|__[A-Z]+__)|(?P<word>\w+)", re.S)
+_TOKEN = re.compile(r"\x01(?P<piece>\d+)\x02|</?(?P<tag>[A-Za-z][A-Za-z0-9]*)\b[^<>]*>|(?P<comment><!--.*?(?:-->|\Z))|\\(?P<command>[a-zA-Z]+)|(?P<wiki>\{\{|\}\}|\[\[|\]\]|__[A-Z]+__)|(?P<word>\w+)", re.S)
 #: Pages with their content marked, for the weights: (is content, text).
 LABELLED: tuple[tuple[tuple[bool, str], ...], ...] = (
     ((False, "<html><head><meta charset=utf8><link href=x><title>Pumps</title><style>p{color:red}</style><script>var a=1;track(a)</script></head><body><nav><a href=1>Home</a> <a href=2>Shop</a> <a href=3>Login</a></nav>"), (True, "<h1>Pump room</h1><p>The pump was checked in May and ran <b>well</b> for ten days.</p><ul><li>Open the valve</li><li>Note the time</li></ul><pre>start --now</pre><p>Nobody saw a leak, so the log was closed.</p>"), (False, "<footer><a href=4>Imprint</a> <a href=5>Privacy</a><script>load()</script></footer></body></html>")),
@@ -226,8 +226,8 @@ def _inline_wiki(t: str) -> str:
             break
     t = re.sub(r"\[\[(?:Category|File|Image):[^\[\]]*\]\]", "", t, flags=re.I)
     t = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", t)
-    t = re.sub(r"\[https?://[^\s\]]+ ([^\]\n]+)\]", r"\1", t)
-    t = re.sub(r"\[https?://[^\s\]]+\]", "", t)
+    t = re.sub(r"\[https?://[^\s\[\]]+ ([^\[\]\n]+)\]", r"\1", t)
+    t = re.sub(r"\[https?://[^\s\[\]]+\]", "", t)
     t = re.sub(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__", "", t)
     t = re.sub(r"'{2,5}", "", t)
     t = re.sub(r"</?(?:nowiki|gallery|references|ref)\b[^>]*>", "", t, flags=re.I)
@@ -247,8 +247,8 @@ def _inline_markdown(t: str) -> str:
     t = re.sub(r"(?<![`\\])(`+)(?!`)(.+?)(?<!`)\1(?!`)", lambda m: hold(m[2].strip()), t)
     t = _MD_ESCAPE.sub(lambda m: hold(m[1]), t)
     t = re.sub(r"\[\^[\w-]+\]:?", "", t)
-    t = re.sub(r"!\[([^\]\n]*)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)", r"\1", t)
-    t = re.sub(r"\[([^\]\n]+)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)", r"\1", t)
+    t = re.sub(r"!\[([^\[\]\n]*)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)", r"\1", t)
+    t = re.sub(r"\[([^\[\]\n]+)\]\([^)\s]*(?:\s+\"[^\"]*\")?\)", r"\1", t)
     t = re.sub(r"<(https?://[^>\s]+)>", r"\1", t)
     t = re.sub(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^*\n]+?)(?<=[^\s*])\1(?![\w*])", r"\2", t)
     t = re.sub(r"(?<!\w)(_{1,3})(?=[^\s_])([^\n]+?)(?<=[^\s_])\1(?!\w)", r"\2", t)
@@ -304,21 +304,15 @@ def _inline_latex(t: str) -> str:
             i += 1 if i + 1 >= len(t) else 2 if t[i + 1] in "()[]" else 1
             continue
         i = m.end()
-        args = []
-        while i < len(t) and t[i] in "[{":
-            end = _group(t, i, "[]" if t[i] == "[" else "{}")
-            if t[i] == "{":
-                args.append(t[i + 1 : end - 1])
-            elif m[1] not in _TEX_DROP and m[1] != "item" and not args and i == m.end():
-                pass
-            i = end
-            if m[1] not in ("href", *_TEX_DROP) and args:
-                break
         if m[1] in _TEX_DROP:
+            while i < len(t) and t[i] in "[{":
+                i = _group(t, i, "[]" if t[i] == "[" else "{}")
             continue
-        if args:
-            out.append(_inline_latex(args[-1]))
-        elif m[1] in ("textbackslash",):
+        if i < len(t) and t[i] == "[" and m[1] != "item":
+            i = _group(t, i, "[]")
+        if m[1] == "href" and i < len(t) and t[i] == "{":
+            i = _group(t, i)  # the address; its text follows and is read on
+        elif m[1] == "textbackslash":
             out.append("\\")
         elif i < len(t) and t[i] == " ":
             i += 1
@@ -377,7 +371,7 @@ def _segment(t: str, kind: str, pieces: list[_Piece]) -> tuple[str, list[tuple[s
         t = re.sub(r"(?<![`\\])(`+)(?!`)([^\n]+?)(?<!`)\1(?!`)", lambda m: keep(None, "", m[2].strip()), t)
     t = re.sub(_P, piece, t)
     if kind in ("markdown", "latex"):
-        t = re.sub(r"\\\[(.+?)\\\]|\\\((.+?)\\\)", lambda m: keep("formula", squeeze(m[1] or m[2]), f"${squeeze(m[1] or m[2])}$"), t, flags=re.S)
+        t = re.sub(r"\\\[((?:(?!\\\[).)+?)\\\]|\\\(((?:(?!\\\().)+?)\\\)", lambda m: keep("formula", squeeze(m[1] or m[2]), f"${squeeze(m[1] or m[2])}$"), t, flags=re.S)
         t = _DOLLAR.sub(lambda m: keep("formula", squeeze(m[1]), m[0]), t)
     if kind == "html":
         t = _COMMENT.sub("", t)
