@@ -18,6 +18,8 @@ _EMPTY = "query_id string, search_no int, chunk_id string, dense double"
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
+    if len({len(v) for v in values}) > 1:
+        raise ValueError("vector has another dimension")
     return np.stack([np.asarray(v, dtype=np.float64) for v in values])
 
 
@@ -52,7 +54,7 @@ def search_dense(searches: DataFrame, chunks: DataFrame, k: int, *, where: dict
 
     def run(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "search_no": [], "chunk_id": [], "dense": []})
+            return pd.DataFrame({"query_id": [], "search_no": [], "chunk_id": [], "dense": []}, dtype=object)
         x = x.sort_values("chunk_id", ignore_index=True)
         qv, xv = _matrix(q["vector"]), _matrix(x["embedding"])
         if qv.shape[1] != xv.shape[1]:
@@ -60,8 +62,10 @@ def search_dense(searches: DataFrame, chunks: DataFrame, k: int, *, where: dict
         cos = cosine_table(qv, xv)
         cos = np.where(np.isnan(cos), -np.inf, cos)
         top = np.argsort(-np.round(cos, 9), axis=1, kind="stable")[:, :k]
-        got = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), top.shape[1]), "search_no": np.repeat(q["search_no"].to_numpy(), top.shape[1]), "chunk_id": x["chunk_id"].to_numpy()[top.ravel()], "dense": np.take_along_axis(cos, top, 1).ravel()})
-        return got[got["dense"] >= floor] if floor > 0 else got
+        value = np.take_along_axis(cos, top, 1).ravel()
+        keep = value >= floor if floor > 0 else np.ones(len(value), bool)
+        each = lambda c: np.repeat(q[c].to_numpy(dtype=object), top.shape[1])[keep]
+        return pd.DataFrame({"query_id": each("query_id"), "search_no": each("search_no"), "chunk_id": x["chunk_id"].to_numpy(dtype=object)[top.ravel()[keep]], "dense": value[keep]}, dtype=object)
 
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, _EMPTY)
     return top_k(found, ["query_id", "search_no"], k, "dense").select("query_id", "search_no", "chunk_id", "dense", "rank")

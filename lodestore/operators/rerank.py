@@ -66,6 +66,7 @@ def mmr(candidates: DataFrame, n: int, lam: float = 0.7) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
         order = mmr_order(pdf["vector"].iloc[0], list(pdf["embedding"]), pdf["score"].to_numpy(), n, lam)
+        pdf = pdf.astype({"query_id": object, "chunk_id": object})
         return pdf.iloc[order].assign(rank=np.arange(1, len(order) + 1, dtype=np.int32))[["query_id", "chunk_id", "score", "rank"]]
 
     return candidates.groupBy("query_id").applyInPandas(run, "query_id string, chunk_id string, score double, rank int")
@@ -91,7 +92,7 @@ def cross_encode(candidates: DataFrame, scorer: Scorer, n: int, text: str = "con
         got = scorer.score(pdf["question"].iloc[0], list(pdf[text]))
         if len(got) != len(pdf):
             raise ValueError("number of results differs from number of inputs")
-        pdf = pdf.assign(score=np.asarray(got, np.float64)).sort_values("score", ascending=False, kind="stable").head(n)
+        pdf = pdf.astype({"query_id": object, "chunk_id": object}).assign(score=np.asarray(got, np.float64)).sort_values("score", ascending=False, kind="stable").head(n)
         return pdf.assign(rank=np.arange(1, len(pdf) + 1, dtype=np.int32))[["query_id", "chunk_id", "score", "rank"]]
 
     return candidates.groupBy("query_id").applyInPandas(run, "query_id string, chunk_id string, score double, rank int")

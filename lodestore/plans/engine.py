@@ -195,7 +195,7 @@ class Engine:
             except Exception as error:
                 if cancelled() or not (self.dense_fail_open and self.use_dense and self.use_sparse):
                     raise
-                answer.dense_error = f"{type(error).__name__}: {str(error)[:500]}"
+                answer.dense_error = f"{type(error).__name__}: {str(error)[:4000]}"
                 engine = self._with(use_dense=False)
                 got = engine._settled(rows).retrieve_batch(rows, where, recall, top_n).orderBy("rank").collect()
         METRICS.count("queries")

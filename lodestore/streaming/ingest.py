@@ -17,7 +17,7 @@ from ..sources.tables import Store, latest
 
 def file_stream(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
     """files(path, modificationTime, length, content) as they arrive."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "true").load(folder)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", "true").load(folder)
 
 
 def chunk_stream(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -1,0 +1,199 @@
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestore.errors import EmptySource
+from lodestore.operators import chunking
+from lodestore.operators.context import breadcrumb, model_context, window
+from lodestore.schema import META, meta_value
+from lodestore.sources import readers, tables
+
+
+def files(spark, *rows):
+    return spark.createDataFrame([(p, len(b), bytearray(b)) for p, b in rows], "path string, length bigint, content binary")
+
+
+def sections(data, reader=readers.read_markdown):
+    return reader(data).sections
+
+
+def test_markdown():
+    text = b"---\ntitle: \"Plan\"\n# c: d\nauthor: 'Me'\n---\nIntro\n\n# Finance\n\n## Q3 ##\nnumbers\n```\n# not a heading\n```\n# Hiring\npeople\n"
+    got = readers.read_markdown(text)
+    assert got.title == "Plan"
+    assert got.extra == {"title": "Plan", "author": "Me"}
+    assert [s for s, _ in got.sections] == ["", "Finance > Q3", "Hiring"]
+    assert "# not a heading" in got.sections[1][1]
+    assert sections(b"# Only a heading") == [("", "Only a heading")]
+
+
+def test_html():
+    page = b"<html><head><title>A &amp; B</title><style>x{}</style></head><body>Lead<script>var p='</p>'</script><h1>One</h1><p>first&nbsp;<b>text</b></p><h2>Two</h2>second</body></html>"
+    got = readers.read_html(page)
+    assert got.title == "A & B"
+    assert got.sections == [("", "Lead"), ("One", "first\xa0 text"), ("One > Two", "second")]
+    assert readers.html_text("a\nb<br>  c") == "a\nb c"
+
+
+def docx(*paragraphs):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = "".join(f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{s}{chr(34)}/></w:pPr>' if s else ''}<w:r>{t}</w:r></w:p>" for s, t in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    return out.getvalue()
+
+
+def test_docx():
+    data = docx(("", "<w:t>Preface.</w:t>"), ("Heading1", "<w:t>Scope</w:t>"), ("", "<w:t>a</w:t><w:tab/><w:t>b</w:t>"), ("", "<w:t>next</w:t>"), ("heading 2", "<w:t>Limits</w:t>"), ("", "<w:t>x</w:t><w:br/><w:t>y</w:t>"))
+    assert readers.read_docx(data).sections == [("", "Preface."), ("Scope", "a\tb\nnext"), ("Scope > Limits", "x\ny")]
+    with pytest.raises(Exception, match="size limit"):
+        readers.read_docx(data, 10)
+
+
+def test_dispatch_and_errors(spark):
+    df = files(spark, ("a.TXT", b" text "), ("b.markdown", b"# H\nbody"), ("c.xyz", b"?"), ("d.txt", b"  "), ("e.txt", b"x" * 50), ("f.pdf", b"%PDF"), ("g.docx", b"no zip"))
+    got = {r.source: r for r in readers.read_files(df, 40).collect()}
+    assert got["a.TXT"].content == "text"
+    assert (got["b.markdown"].section, got["b.markdown"].content) == ("H", "body")
+    for name, kind in (("c.xyz", "UnsupportedFormat"), ("d.txt", "EmptyDocument"), ("e.txt", "DocumentTooLarge"), ("g.docx", "BadZipFile")):
+        assert got[name].error.startswith(kind)
+    assert got["f.pdf"].error
+    with pytest.raises(Exception, match="UnsupportedFormat"):
+        readers.read_files(files(spark, ("c.xyz", b"?")), strict=True).collect()
+    own = readers.read_files(files(spark, ("c.xyz", b"?")), readers={".xyz": lambda b: readers.Read([("", "own")])})
+    assert own.first()["content"] == "own"
+
+
+def test_metadata_layers(spark):
+    df = readers.read_files(files(spark, ("a.md", b"---\nsource: other\nlang: de\n---\n# S\nbody"), ("b.html", b"<title>Page</title>text")))
+    got = {r.source: {k: v["s"] for k, v in r.meta.items() if v["t"] == "str"} for r in readers.with_meta(df, {"title": "Given", "n": 3}).collect()}
+    assert got["a.md"] == {"source": "other", "lang": "de", "title": "Given", "section": "S"}
+    assert got["b.html"]["title"] == "Given"
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, content string")
+
+
+def test_character_chunks(spark):
+    paragraphs = ["alpha beta gamma", "delta epsilon zeta eta", "theta iota"]
+    got = chunking.character_chunks(docs(spark, "\n\n".join(paragraphs), None, ""), 23).orderBy("idx").collect()
+    assert [r.content for r in got] == paragraphs
+    assert [r.idx for r in got] == [0, 1, 2]
+    assert len({r.chunk_id for r in got}) == 3
+    for size, overlap in ((0, 0), (5, -1), (5, 5)):
+        with pytest.raises(ValueError, match="chunk"):
+            chunking.character_chunks(docs(spark, "x"), size, overlap)
+
+
+@pytest.mark.parametrize(
+    ("text", "size", "overlap", "want"),
+    [
+        ("aa bb cc dd", 5, 2, ["aa bb", "bb cc", "cc dd"]),
+        ("abcdefgh", 3, 1, ["abc", "cde", "efg", "gh"]),
+        ("éééé", 4, 0, ["éé", "éé"]),
+        ("a\n\n\n\nb", 1, 0, ["a", "", "\n\nb"]),
+        ("xx yyyyyy zz", 4, 2, ["xx", "yyyy", "yyyy", "zz"]),
+    ],
+)
+def test_recursive_split(text, size, overlap, want):
+    assert chunking.split_recursively(text, size, overlap) == want
+
+
+def test_windows_over_characters_when_nothing_else_is_left():
+    assert chunking.split_recursively("abcdef", 4, 2, ("|",)) == ["abcd", "cdef"]
+
+
+def test_token_windows(spark):
+    text = " ".join(str(i) for i in range(50))
+    got = [r.content.split() for r in chunking.token_chunks(docs(spark, text), 16, 4).orderBy("idx").collect()]
+    assert [len(g) for g in got] == [16, 16, 16, 14]
+    assert all(a[-4:] == b[:4] for a, b in zip(got, got[1:]))
+    assert chunking.token_chunks(docs(spark, "", "  "), 4, 1).count() == 0
+
+    class Letters:
+        def encode(self, t):
+            return [ord(c) for c in t]
+
+        def decode(self, ids):
+            return "".join(map(chr, ids))
+
+    assert [r.content for r in chunking.bpe_chunks(docs(spark, "abcdefg"), 4, 1, Letters).orderBy("idx").collect()] == ["abcd", "defg"]
+
+
+@pytest.mark.parametrize(("meta", "want"), [({"title": "T", "section": "A > B"}, "T > A > B"), ({"source": "dir/q3-report.txt"}, "q3-report"), ({"section": "S"}, "S"), ({}, "")])
+def test_breadcrumb(spark, meta, want):
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([({k: meta_value(v) for k, v in meta.items()},)], T.StructType([T.StructField("meta", META)]))
+    assert df.select(breadcrumb(F.col("meta"))).first()[0] == want
+
+
+def test_model_context(spark):
+    whole = spark.createDataFrame([("d0", "one two three")], "doc_id string, content string")
+    held = chunking.token_chunks(whole, 1, 0).withColumn("meta", F.create_map(F.lit("title"), F.struct(F.lit("str").alias("t"), F.lit("T").alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("boolean").alias("b"))))
+    got = [r.context for r in model_context(held, whole, lambda prefix, prompt: f"about {prompt.split()[1]}").orderBy("idx").collect()]
+    assert got == ["T\nabout one", "T\nabout two", "T\nabout three"]
+    assert "needle" in window("x" * 500 + "needle" + "y" * 500, "needle", 100, 0.0)
+    assert len(window("é" * 500, "none", 100, 0.5).encode()) <= 100
+
+
+def table(spark, *rows):
+    out = [(i, "d", n, text, "", None, {"source": meta_value(source)}) for i, n, text, source in rows]
+    return spark.createDataFrame(out, "chunk_id string, doc_id string, idx int, content string, context string, embedding array<float>, meta map<string,struct<t:string,s:string,d:double,b:boolean>>")
+
+
+def ids(df):
+    return sorted(r.chunk_id for r in df.collect())
+
+
+def test_table_operators(spark):
+    old = table(spark, ("a", 0, "x", "s1"), ("b", 1, "y", "s1"), ("c", 0, "z", "s2"))
+    new = table(spark, ("b", 1, "new", "s1"), ("", 0, "no id", "s1"), ("e", 2, "more", "s1"))
+    assert {r.chunk_id: r.content for r in tables.upsert(old, new).collect()} == {"a": "x", "b": "new", "c": "z", "e": "more"}
+    assert ids(tables.replace_source(old, "s1", new.where("chunk_id <> ''"))) == ["b", "c", "e"]
+    assert ids(tables.delete_source(old, "s1")) == ["c"]
+    assert ids(tables.delete_source(old, "s1", new)) == ["b", "c"]
+    with pytest.raises(EmptySource):
+        tables.delete_source(old, "")
+    wanted = spark.createDataFrame([(0, "c"), (1, "no"), (2, "a")], "pos int, chunk_id string")
+    assert [r.chunk_id for r in tables.get_chunks(old, wanted).collect()] == ["c", "a"]
+    assert ids(tables.delete(old, wanted)) == ["b"]
+
+
+def test_latest(spark):
+    rows = [("a", "2025-01-01 00:00:00", "old"), ("a", "2025-01-02 00:00:00", "new"), ("a", None, "never"), (None, None, "x"), ("b", None, "only")]
+    df = spark.createDataFrame(rows, "chunk_id string, t string, content string").select("chunk_id", F.to_timestamp("t").alias("ingested_at"), "content")
+    assert {r.chunk_id: r.content for r in tables.latest(df).collect()} == {"a": "new", "b": "only"}
+
+
+def test_store_versions(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    assert store.chunks() is None
+    first = store.upsert(table(spark, ("a", 0, "raft leader", "s1"), ("b", 1, "raft", "s1"), ("c", 0, "pasta", "s2")))
+    store.upsert(table(spark, ("b", 1, "paxos", "s1")))
+    assert store.version() != first
+    assert sorted((r.term, r.chunk_id) for r in store.postings().collect()) == [("leader", "a"), ("pasta", "c"), ("paxos", "b"), ("raft", "a")]
+    before = store.version()
+
+    def fail(x):
+        raise RuntimeError("write fails")
+
+    broken = table(spark, ("z", 0, "z", "s1")).withColumn("content", F.udf(fail, "string")("content"))
+    with pytest.raises(Exception, match="write fails"):
+        store.upsert(broken)
+    assert store.version() == before
+    store.delete_source("s1")
+    assert ids(store.chunks()) == ["c"]
+    assert {r.term for r in store.postings().collect()} == {"pasta"}
+    store.save(str(tmp_path / "snapshot"))
+    other = tables.Store(spark, str(tmp_path / "other"))
+    assert other.load(str(tmp_path / "none")) is None
+    other.load(str(tmp_path / "snapshot"))
+    assert ids(other.chunks()) == ["c"]
+    assert {r.term for r in other.postings().collect()} == {"pasta"}
+    other.delete(spark.createDataFrame([("c",)], "chunk_id string"))
+    assert other.chunks().count() == other.postings().count() == 0
