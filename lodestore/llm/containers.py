@@ -118,7 +118,7 @@ def _pack_regions(items: DataFrame, regions: int, capacity: int, islands: int, p
         def run(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
             region, island = int(key[0]), int(key[1])
             if not len(pdf):
-                return pd.DataFrame({"region": [], "island": [], "genome": [], "fitness": []})
+                return pd.DataFrame({"region": [], "island": [], "genome": [], "fitness": []}, dtype=object)
             sizes = order(pdf)["size"].to_numpy(np.int64)
             state = state.sort_values(["fitness", "genome"], ascending=[False, True]).head(cut)
             genomes = [np.frombuffer(g, np.int32) for g in state["genome"]]

@@ -450,8 +450,10 @@ def clean_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for pdf in batches:
+            if not len(pdf):
+                continue
             got = [clean(t, weights) for t in pdf["t"]]
-            yield pd.DataFrame({id_col: pdf["i"], "clean": [g[0] for g in got], "kinds": [g[1] for g in got], "elements": [[{"kind": k, "element": e, "content": c} for k, e, c in g[2]] for g in got]})
+            yield pd.DataFrame({id_col: pdf["i"].to_numpy(dtype=object), "clean": [g[0] for g in got], "kinds": [g[1] for g in got], "elements": [[{"kind": k, "element": e, "content": c} for k, e, c in g[2]] for g in got]})
 
     rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInPandas(run, f"`{id_col}` string, clean string, kinds array<string>, elements array<struct<kind:string,element:string,content:string>>")

@@ -160,8 +160,10 @@ def stuffed_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for pdf in batches:
+            if not len(pdf):
+                continue
             got = [examine(t, limits) for t in pdf["t"]]
-            yield pd.DataFrame({id_col: pdf["i"], "stuffed": [g[0] for g in got], "sentences": [g[1] for g in got], "peak": [g[2] for g in got], "gaps": [g[3] for g in got]})
+            yield pd.DataFrame({id_col: pdf["i"].to_numpy(dtype=object), "stuffed": [g[0] for g in got], "sentences": [g[1] for g in got], "peak": [g[2] for g in got], "gaps": [g[3] for g in got]})
 
     rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInPandas(run, f"`{id_col}` bigint, stuffed boolean, sentences double, peak double, gaps double")
