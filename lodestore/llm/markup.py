@@ -132,13 +132,18 @@ def _kinds(blocks: list[str], pieces: list[_Piece]) -> list[str | None]:
 
 # ---- the content region -------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"\x01(?P<piece>\d+)\x02|</?(?P<tag>[A-Za-z][A-Za-z0-9]*)\b[^<>]*>|(?P<comment><!--.*?(?:-->|\Z))|\\(?P<command>[a-zA-Z]+)|(?P<wiki>\{\{|\}\}|\[\[|\]\]|__[A-Z]+__)|(?P<word>\w+)", re.S)
+_TOKEN = re.compile(r"^[ ]{0,3}(?P<head>#{1,6}[ \t]|={1,6})|^[ \t]*(?P<item>[*+-][ \t]|\d{1,9}[.)][ \t]|[*#]+)|\x01(?P<piece>\d+)\x02|</?(?P<tag>[A-Za-z][A-Za-z0-9]*)\b[^<>]*>|(?P<comment><!--.*?(?:-->|\Z))|\\(?P<command>[a-zA-Z]+)|(?P<wiki>\{\{|\}\}|\[\[|\]\]|__[A-Z]+__)|(?P<word>\w+)", re.S | re.M)
+_TEX_HEADING = re.compile(r"chapter|part|(?:sub){0,2}section|(?:sub)?paragraph")
 #: Pages with their content marked, for the weights: (is content, text).
 LABELLED: tuple[tuple[tuple[bool, str], ...], ...] = (
     ((False, "<html><head><meta charset=utf8><link href=x><title>Pumps</title><style>p{color:red}</style><script>var a=1;track(a)</script></head><body><nav><a href=1>Home</a> <a href=2>Shop</a> <a href=3>Login</a></nav>"), (True, "<h1>Pump room</h1><p>The pump was checked in May and ran <b>well</b> for ten days.</p><ul><li>Open the valve</li><li>Note the time</li></ul><pre>start --now</pre><p>Nobody saw a leak, so the log was closed.</p>"), (False, "<footer><a href=4>Imprint</a> <a href=5>Privacy</a><script>load()</script></footer></body></html>")),
     ((False, "<div><a href=a>One</a><a href=b>Two</a><a href=c>Three</a></div><form><input name=q><button>Go</button></form>"), (True, "<h2>How to read a meter</h2><div><p>Stand in front of the meter and <em>wait</em> until the hand rests.</p><ol><li>Write the number down</li></ol><p>Send it to the office by the end of the week.</p></div>"), (False, "<div><img src=x><iframe src=y></iframe><script>ad()</script></div>")),
     ((False, "{{Infobox | name = pump | size = 3 }}"), (True, "== Use ==\nThe '''pump''' moves [[water|cold water]] into the tank. It was built in March.\n* first step\n* second step\n<syntaxhighlight>run()</syntaxhighlight> and <math>a+b</math> hold."), (False, "[[Category:Pumps]] [[Category:Tanks]] __NOTOC__ {{stub}}")),
     ((False, "\\documentclass{article} \\usepackage{graphicx} \\begin{document}"), (True, "\\section{Use} The pump was \\emph{checked} twice \\cite{a} and the tank was full. \\begin{itemize} \\item open it \\item close it \\end{itemize} The log says otherwise."), (False, "\\bibliographystyle{plain} \\bibliography{refs} \\end{document}")),
+    ((True, "<h3><a href=1>Pump</a> notes</h3><p>See the <a href=2>log</a> of May<br/>and the <code>run</code> of <span>June</span>.<img src=a> It was <i>short</i>, as the <a href=3>list</a> says.</p><ul><li><a href=4>Valve</a> of the tank</li><li>Hose <sup>1</sup></li></ul>"), (False, "<div><a href=5>Up</a> <a href=6>Down</a><script>x()</script></div>")),
+    ((False, "<style>b{}</style><script>a()</script>"), (True, "<h4>Reading <a href=1>room</a></h4>\n<div><p>Every <span>room</span> has a meter.<!-- n --> Ask the <a href=2>desk</a> for a key.<br></p></div><h2><a href=3>Keys</a></h2><ol><li>One <em>key</em></li><li>Two <code>keys</code></li></ol><p>Bring them <strong>back</strong> by noon.</p>"), (False, "<nav><a href=4>Next</a></nav>")),
+    ((False, "__NOTOC__\n"), (True, "=== Keys ===\nAsk the [[desk]] for [[key (tool)|a key]] of the ''room''.{{source|a}}\n# [[open]] it\n# close [http://x the door]\n== Rooms ==\nEvery [[room]] has {{two}} meters.<ref>n</ref> They are read in May."), (False, "{{navigation | a = 1 | b = 2}} [[Category:Keys]]")),
+    ((True, "\\subsection{\\texttt{Keys} and rooms} Ask the \\href{http://x}{desk} for \\textbf{a key}. \\paragraph{Rooms} They are \\underline{open} \\textit{today} \\footnote{See b.} \\label{r}."), (False, "\\bibliography{refs} \\end{document}")),
     ((True, "# Use\n\nThe pump was **checked** and the [log](x) was closed by the team in the evening.\n\n- open\n- close\n\n```\nrun\n```\n"), (False, "[![badge](a)](b) <img src=c> <br> <sub></sub>")),
 )
 
@@ -150,9 +155,12 @@ def _classes(text: str, pieces: list[_Piece]) -> list[tuple[int, int, str]]:
         if kind == "piece":
             name = "kept" if pieces[int(m["piece"])].what != "drop" else "script"
         elif kind == "tag":
-            name = "tag:" + m["tag"].lower()
+            tag = m["tag"].lower()
+            name = "tag:h" if re.fullmatch("h[1-6]", tag) else f"tag:{tag}"  # headings of all levels share a weight
         elif kind == "command":
-            name = "command:" + m["command"]
+            name = "command:h" if _TEX_HEADING.fullmatch(m["command"]) else f"command:{m['command']}"
+        elif kind == "wiki":
+            name = {"{": "wiki:template", "}": "wiki:template", "[": "wiki:link", "]": "wiki:link"}.get(m["wiki"][0], "wiki:word")
         else:
             name = kind or "word"
         out.append((m.start(), m.end(), name))
