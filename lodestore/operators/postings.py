@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.filters import compile_filter
 from ..functions.scores import top_k
+from ..sources.shared import written
 
 Tokenizer = Callable[[Column], Column]
 
@@ -54,35 +57,80 @@ def numbered(ids: DataFrame, key: str = "chunk_id") -> DataFrame:
     return rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("no", F.monotonically_increasing_id())
 
 
-def search_sparse(searches: DataFrame, postings: DataFrame, n: int, avgdl: float, k: int, *, k1: float = 1.5, b: float = 0.75, tokenizer: Tokenizer = tx.tokens, chunks: DataFrame | None = None, where: dict | None = None, key: str = "chunk_id", salts: int = 16, broadcast_rows: int = 500_000) -> DataFrame:
+def _best_of_block(q: pd.DataFrame, x: pd.DataFrame, key: str, k: int, at_once: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, chunk, score) of the k best chunks of a block for each query.
+
+    Scores add up in a table of `at_once` queries by the block's chunks, one outer product per term.
+    """
+    terms, code = np.unique(q["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
+    own = pd.Index(terms).get_indexer(x["term"].to_numpy(dtype=object))
+    x = x.assign(_t=own)[own >= 0]
+    keys, chunk = np.unique(x[key].to_numpy(dtype=object), return_inverse=True)
+    order = np.argsort(x["_t"].to_numpy(), kind="stable")
+    part, chunk = x["part"].to_numpy(np.float64)[order], chunk[order]
+    ends = np.searchsorted(x["_t"].to_numpy()[order], np.arange(len(terms) + 1))
+    asking = q["q"].to_numpy(np.int64)
+    queries, row = np.unique(asking, return_inverse=True)
+    weight = q["w"].to_numpy(np.float64)
+    out = []
+    for lo in range(0, len(queries), at_once):
+        here = np.flatnonzero((row >= lo) & (row < lo + at_once))
+        here = here[np.argsort(code[here], kind="stable")]
+        table = np.zeros((min(at_once, len(queries) - lo), len(keys)))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(code[here]) != 0])) if len(here) else []
+        for s, e in zip(starts, [*starts[1:], len(here)]):
+            t = code[here[s]]
+            span = slice(ends[t], ends[t + 1])
+            if span.start < span.stop:
+                table[np.ix_(row[here[s:e]] - lo, chunk[span])] += np.outer(weight[here[s:e]], part[span])
+        rank = np.rint(table * 1e9)
+        least = np.partition(rank, len(keys) - k, axis=1)[:, len(keys) - k] if k < len(keys) else np.zeros(len(table))
+        r, c = np.nonzero((rank >= least[:, None]) & (table > 0))
+        best = np.lexsort((c, -rank[r, c], r))  # keys are sorted: the place of a chunk is its tie-break
+        r, c = r[best], c[best]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[nth < k], c[nth < k]
+        out.append((queries[r + lo], keys[c], table[r, c]))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def search_sparse(searches: DataFrame, postings: DataFrame, n: int, avgdl: float, k: int, *, k1: float = 1.5, b: float = 0.75, tokenizer: Tokenizer = tx.tokens, chunks: DataFrame | None = None, where: dict | None = None, key: str = "chunk_id", block: int = 8_192, query_block: int = 20_000) -> DataFrame:
     """(query_id, search_no, key, sparse, rank): the k best chunks by BM25 of every search, in one plan.
 
-    The document frequency joins the terms asked for, not the postings; each posting then joins its term once.
-    The terms of the
-    searches are counted: up to `broadcast_rows` (some 30 MB) they are sent to postings that are partitioned by chunk;
-    beyond, both sides shuffle by term, and a frequent term that many searches share is spread over `salts` tasks. postings may hold a number
-    instead of the chunk's id (`key`): with numbers in the ids' order (numbered) results are the same, and the widest
-    aggregate of the plan keeps fixed-width keys.
+    Weights are relational: the document frequency joins the terms asked for, never the text. Accumulating is not: a
+    term that is in most chunks and most searches would make a row per pair of them. So postings are cut into blocks
+    of chunks, searches into blocks of searches, and each pair of blocks is one bounded task that adds up in a table
+    and returns its k best per search; what is shuffled is the postings of the terms asked for, and those few rows.
+    A filter is tested after statistics and before scoring; the scores of what it leaves are the same. postings may
+    hold a number in place of the chunk's id (`key`), in the ids' order (see numbered), which makes rows narrow.
     """
     columns = ["query_id", "search_no", key, "sparse", "rank"]
+    kind = postings.schema[key].dataType.simpleString()
     if k <= 0 or n <= 0 or not avgdl:
-        return searches.select("query_id", "search_no").limit(0).crossJoin(postings.select(key).limit(0)).select("query_id", "search_no", key, F.lit(0.0).alias("sparse"), F.lit(1).alias("rank"))
+        return searches.sparkSession.createDataFrame([], f"query_id {searches.schema['query_id'].dataType.simpleString()}, search_no int, {key} {kind}, sparse double, rank int")
+    numbers = written(searches.select("query_id", "search_no").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
     asked = query_terms(searches, tokenizer)
     used = postings.join(asked.select("term").distinct(), "term", "left_semi")
     weights = term_stats(used).select("term", idf(float(n), F.col("df")).alias("idf"))
-    tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl))))
-    weighted = asked.join(weights, "term")
-    if asked.count() <= broadcast_rows:
-        # All postings of a chunk in one task, the weights sent to each: sums are complete without a second shuffle.
-        met = used.repartition(F.col(key)).join(F.broadcast(weighted), "term")
-    else:
-        spread = used.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-        met = spread.join(weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["term", "salt"])
-    scored = met.groupBy("query_id", "search_no", key).agg(F.sum(part).alias("sparse"))
     if where and chunks is not None:
-        scored = scored.join(chunks.where(compile_filter(where, F.col("meta"))).select(key), key, "left_semi")
-    return top_k(scored, ["query_id", "search_no"], k, "sparse", key).select(*columns)
+        used = used.join(chunks.where(compile_filter(where, F.col("meta"))).select(key), key, "left_semi")
+    spread = searches.sparkSession.sparkContext.defaultParallelism
+    xb = max(-(-n // block), min(spread, -(-n // 256)))
+    qb = max(1, -(-numbers.count() // query_block))
+    grid = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    tf = F.col("tf").cast("double")
+    part = tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl))))
+    right = used.select("term", key, part.alias("part"), F.pmod(F.xxhash64(key), F.lit(xb)).cast("int").alias("i"), grid(qb).alias("j"))
+    left = asked.join(numbers, ["query_id", "search_no"]).join(weights, "term").select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"), F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("j"), grid(xb).alias("i"))
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"q": [], key: [], "sparse": []}, dtype=object)
+        at, near, score = _best_of_block(q, x, key, k)
+        return pd.DataFrame({"q": at, key: near, "sparse": score}, dtype=object)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"q bigint, {key} {kind}, sparse double")
+    return top_k(found, ["q"], k, "sparse", key).join(numbers, "q").select(*columns)
 
 
 def terms_matched(searches: DataFrame, postings: DataFrame, tokenizer: Tokenizer = tx.tokens) -> DataFrame:

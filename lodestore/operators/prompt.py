@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+Counter = Callable[[Column], Column]
+
 #: Fixed: the prompt's wording, whose length counts towards the budget.
 HISTORY_HEADER = "Conversation so far (for reference only; do not cite it):\n"
 CONTEXT_HEADER = "Context Information:\n"
@@ -15,9 +20,22 @@ CLOSING = "Answer based strictly on the context above. Cite sources using [1], [
 OVERHEAD = "Context Information:\n\nUser Question:\n\n\n" + CLOSING
 
 
-def passage_cost(chunk_id: Column, content: Column, ratio: float = 4.0) -> Column:
+def passage_cost(chunk_id: Column, content: Column, ratio: float = 4.0, count: Counter | None = None) -> Column:
     """Tokens of a passage as it will stand in the prompt, with a placeholder for its number."""
-    return tx.token_estimate(F.concat(F.lit("[0] (ID: "), chunk_id, F.lit(")\n"), F.coalesce(content, F.lit("")), F.lit("\n\n")), ratio)
+    text = F.concat(F.lit("[0] (ID: "), chunk_id, F.lit(")\n"), F.coalesce(content, F.lit("")), F.lit("\n\n"))
+    return count(text) if count else tx.token_estimate(text, ratio)
+
+
+def bpe_counter(encoding: Callable[[], object]) -> Counter:
+    """Counts byte-pair tokens; encoding() is called once per task and gives encode(text)."""
+
+    @F.pandas_udf("bigint")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = encoding()
+        for texts in parts:
+            yield texts.map(lambda t: len(bpe.encode(t)) if t else 0).astype("int64")
+
+    return count
 
 
 def middle_position(i: Column, n: Column) -> Column:
@@ -25,14 +43,14 @@ def middle_position(i: Column, n: Column) -> Column:
     return F.when(n <= 2, i).when(i % 2 == 0, F.floor(i / 2)).otherwise(n - 1 - F.floor((i - 1) / 2)).cast("int")
 
 
-def choose_passages(hits: DataFrame, budget: Column | int, ratio: float = 4.0) -> DataFrame:
+def choose_passages(hits: DataFrame, budget: Column | int, ratio: float = 4.0, count: Counter | None = None) -> DataFrame:
     """(query_id, place, chunk_id, content): what fits, in prompt order from 1.
 
     In rank order a passage is taken if it still fits and skipped otherwise; a later, smaller one may fit.
     budget may be a column that is equal in all rows of a query.
     """
     budget = F.lit(budget) if not isinstance(budget, Column) else budget
-    rows = hits.withColumn("_cost", passage_cost(F.col("chunk_id"), F.col("content"), ratio)).withColumn("_budget", budget.cast("bigint"))
+    rows = hits.withColumn("_cost", passage_cost(F.col("chunk_id"), F.col("content"), ratio, count).cast("bigint")).withColumn("_budget", budget.cast("bigint"))
     listed = rows.groupBy("query_id").agg(F.first("_budget").alias("budget"), F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "content", F.col("_cost").alias("cost")))).alias("hits"))
     kind = listed.schema["hits"].dataType.simpleString()
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(kind).alias("kept"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators import prompt
+
 CHUNKS = """live AS (SELECT * FROM chunk WHERE chunk_id IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) = 1)"""
 DOCUMENTS = """docs AS (SELECT * FROM document WHERE doc_id IS NOT NULL
@@ -124,6 +126,27 @@ def statements(source: str) -> dict[str, str]:
         "neighbor_windows": f"""WITH {CHUNKS}, {RERANKED}, {top_hits(5)}
             SELECT t.query_id, t.rank::BIGINT AS rank, t.chunk_id, count(*) AS parts, string_agg(coalesce(l.content, ''), chr(10) ORDER BY l.idx, l.chunk_id, l.content) AS content
             FROM top t JOIN live l ON l.doc_id = t.doc_id AND l.idx BETWEEN t.idx - 1 AND t.idx + 1 GROUP BY t.query_id, t.rank, t.chunk_id""",
+        "neighbors_expand": f"""WITH RECURSIVE {CHUNKS}, {RERANKED}, {top_hits(5)},
+            o AS (SELECT t.query_id, t.chunk_id, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank, t.chunk_id) AS i, a.near, a.content FROM top t,
+                  LATERAL (SELECT list(l.chunk_id) AS near, string_agg(coalesce(l.content, ''), chr(10) ORDER BY l.idx, l.chunk_id) AS content FROM live l
+                           WHERE l.doc_id = t.doc_id AND l.idx BETWEEN t.idx - 1 AND t.idx + 1) a),
+            walk AS (SELECT query_id, chunk_id, i, content, TRUE AS kept, near AS seen FROM o WHERE i = 1
+                     UNION ALL SELECT o.query_id, o.chunk_id, o.i, o.content, NOT list_contains(w.seen, o.chunk_id),
+                               CASE WHEN list_contains(w.seen, o.chunk_id) THEN w.seen ELSE list_concat(w.seen, o.near) END
+                     FROM walk w JOIN o ON o.query_id = w.query_id AND o.i = w.i + 1)
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i) AS rank, chunk_id, content FROM walk WHERE kept""",
+        "prompts": f"""WITH RECURSIVE {CHUNKS}, {SEARCHES}, {RERANKED}, {top_hits(10)},
+            q AS (SELECT query_id, strlen(text) AS n, greatest(0, 1024 - {len(prompt.OVERHEAD) // 4} - CASE WHEN strlen(text) = 0 THEN 0 ELSE greatest(1, strlen(text) // 4) END) AS budget
+                  FROM searches WHERE search_no = 0 AND query_id IN (SELECT query_id FROM reranked)),
+            o AS (SELECT query_id, chunk_id, strlen(chunk_id || content) + 13 AS size, greatest(1, (strlen(chunk_id || content) + 13) // 4) AS cost,
+                         row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS i FROM top),
+            walk AS (SELECT query_id, i, size, cost <= budget AS taken, CASE WHEN cost <= budget THEN cost ELSE 0 END AS used, budget FROM o JOIN q USING (query_id) WHERE i = 1
+                     UNION ALL SELECT o.query_id, o.i, o.size, used + cost <= budget, CASE WHEN used + cost <= budget THEN used + cost ELSE used END, budget
+                     FROM walk w JOIN o ON o.query_id = w.query_id AND o.i = w.i + 1),
+            k AS (SELECT query_id, size + strlen((row_number() OVER (PARTITION BY query_id ORDER BY i))::VARCHAR) - 1 AS size FROM walk WHERE taken)
+            SELECT q.query_id, (any_value(q.n) + coalesce(sum(k.size), 0) + {len(prompt.CONTEXT_HEADER + prompt.QUESTION_HEADER + prompt.CLOSING) + 2})::BIGINT AS bytes, count(k.size) AS sources
+            FROM q LEFT JOIN k USING (query_id) GROUP BY q.query_id""",
+        "cache_evict": f"WITH {SEARCHES} SELECT query_id, search_no, target AS scope FROM searches WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target ORDER BY query_id DESC, search_no DESC) <= 20",
         "context_budget": f"""WITH RECURSIVE {CHUNKS}, {RERANKED}, {top_hits(10)},
             o AS (SELECT query_id, chunk_id, greatest(1, strlen('[0] (ID: ' || chunk_id || ')' || chr(10) || content || chr(10) || chr(10)) // 4) AS cost,
                          row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS i FROM top),

@@ -130,11 +130,8 @@ def _index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
 
 
 def _search(numbers, index, n, avgdl, searches, k, **how) -> DataFrame:
-    asked = searches.where("target IN ('all', 'sparse')")
-    keyed = written(postings.numbered(asked.select(F.struct("query_id", "search_no").alias("q")), "q"), "searches")
-    rows = asked.withColumn("q", F.struct("query_id", "search_no")).join(keyed, "q").select(F.col("no").alias("query_id"), F.lit(0).alias("search_no"), "text")
-    got = postings.search_sparse(rows, index, n, avgdl, k, key="no", **how).withColumnRenamed("query_id", "at")
-    return got.join(numbers, "no").drop("no").join(keyed.withColumnRenamed("no", "at"), "at").select("q.query_id", "q.search_no", "chunk_id", "sparse", "rank")
+    asked = searches.where("target IN ('all', 'sparse')").select("query_id", "search_no", "text")
+    return postings.search_sparse(asked, index, n, avgdl, k, key="no", **how).join(numbers, "no").drop("no")
 
 
 def _bm25(spark, d, where: dict | None = None, k: int = 10) -> DataFrame:
@@ -444,7 +441,7 @@ def cache_semantic(spark, d):
 @_query
 def cache_evict(spark, d):
     """The twenty newest questions per target."""
-    rows = _searches(spark, d).where("target IS NOT NULL").select(uuid5(F.encode(F.concat_ws("/", "query_id", "search_no"), "utf-8")).alias("key"), F.col("target").alias("scope"), (F.crc32(F.encode("query_id", "utf-8")) * 10 + F.col("search_no")).alias("seq"), F.lit(None).cast("timestamp").alias("expires"), "query_id", "search_no")
+    rows = _searches(spark, d).where("target IS NOT NULL").select(uuid5(F.encode(F.concat_ws("/", "query_id", "search_no"), "utf-8")).alias("key"), F.col("target").alias("scope"), F.struct("query_id", "search_no").alias("seq"), F.lit(None).cast("timestamp").alias("expires"), "query_id", "search_no")
     return cache.kept(rows, 20).select("query_id", "search_no", "scope")
 
 

@@ -28,14 +28,14 @@ def bm25(spark, rows, text, k=10, **how):
     return [(r.chunk_id, r.sparse) for r in got.orderBy("rank").collect()]
 
 
-def test_bm25_formula_and_both_physical_ways(spark):
+def test_bm25_formula_in_one_block_or_many(spark):
     rows = [("a", "go go channel"), ("b", "go routine"), ("c", "cooking pasta"), ("d", "")]
     n, avgdl = 4, 7 / 4
     idf = lambda df: math.log(1 + (n - df + 0.5) / (df + 0.5))
     part = lambda tf, dl, df: idf(df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
     want = {"a": part(2, 3, 2) * 2 + part(1, 3, 1), "b": part(1, 2, 2) * 2}
-    for rows_limit in (500_000, 0):  # sent to the postings, or shuffled and salted
-        got = dict(bm25(spark, rows, "Go go, channel", broadcast_rows=rows_limit))
+    for block in (8_192, 1):
+        got = dict(bm25(spark, rows, "Go go, channel", block=block, query_block=block))
         assert got.keys() == want.keys()
         assert all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
 
