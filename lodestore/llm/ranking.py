@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 KINDS = ("dense", "sparse", "rerank")
 
 
@@ -44,25 +46,32 @@ def list_entries(hits: DataFrame) -> DataFrame:
 
 
 def squashed(entries: DataFrame) -> DataFrame:
-    """Adds value in (0, 1): logistic of the robust z-score within the list."""
+    """Adds value in (0, 1): logistic of the robust z-score within the list; and w_<kind>: 1 if the query has the kind.
+
+    Medians and deviations read keys and scores alone; chunk ids travel once, to meet the numbers of their list.
+    """
     key = ["query_id", "search_no", "kind"]
     middle = entries.groupBy(*key).agg(F.percentile_approx("score", 0.5, 10_000).alias("middle"))
-    off = entries.join(middle, key).withColumn("off", F.abs(F.col("score") - F.col("middle")))
+    off = entries.select(*key, "score").join(middle, key).withColumn("off", F.abs(F.col("score") - F.col("middle")))
     spread = off.groupBy(*key).agg(F.first("middle", ignorenulls=True).alias("middle"), F.percentile_approx("off", 0.5, 10_000).alias("mad"), F.avg("off").alias("mean_off"))
+    has = spread.groupBy("query_id").agg(*(F.max((F.col("kind") == k).cast("int")).alias(f"w_{k}") for k in KINDS))
     width = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).when(F.col("mean_off") > 0, F.col("mean_off") * 1.2533)
     z = F.coalesce((F.col("score") - F.col("middle")) / width, F.lit(0.0))
-    return entries.join(spread, key).withColumn("value", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    value = (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("value")
+    numbers = spread.join(has, "query_id")
+    return entries.join(numbers, key).select(*key, "chunk_id", "score", value, *(f"w_{k}" for k in KINDS))
 
 
 def one_ranking(hits: DataFrame, weights: dict[str, float] | None = None, absent: float = 0.02) -> DataFrame:
     """(query_id, chunk_id, combined): the weighted geometric mean over the kinds that the query has."""
     weights = {k: 1.0 for k in KINDS} | (weights or {})
-    values = squashed(list_entries(hits))
-    best = values.groupBy("query_id", "chunk_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in KINDS))
-    has = values.groupBy("query_id").agg(*(F.max(F.when(F.col("kind") == k, F.lit(weights[k])).otherwise(0.0)).alias(f"w_{k}") for k in KINDS))
-    total = sum((F.col(f"w_{k}") for k in KINDS), F.lit(0.0))
-    logs = sum((F.col(f"w_{k}") * F.log(F.coalesce(F.col(k), F.lit(absent))) for k in KINDS), F.lit(0.0))
-    return best.join(has, "query_id").select("query_id", "chunk_id", F.exp(logs / total).alias("combined"))
+    values = squashed(written(list_entries(hits), "entries"))
+    best = [F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in KINDS]
+    joined = values.groupBy("query_id", "chunk_id").agg(*best, *(F.max(f"w_{k}").alias(f"w_{k}") for k in KINDS))
+    weight = {k: F.col(f"w_{k}") * F.lit(weights[k]) for k in KINDS}
+    total = sum(weight.values(), F.lit(0.0))
+    logs = sum((weight[k] * F.log(F.coalesce(F.col(k), F.lit(absent))) for k in KINDS), F.lit(0.0))
+    return joined.select("query_id", "chunk_id", F.exp(logs / total).alias("combined"))
 
 
 def first_of_each(ranking: DataFrame) -> DataFrame:
