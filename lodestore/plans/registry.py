@@ -42,9 +42,9 @@ def _chunks(spark: SparkSession, d: str, columns: tuple[str, ...] = ("doc_id", "
     return tables.latest(_table(spark, d, "chunk").select("chunk_id", *columns, "ingested_at")).drop("ingested_at")
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents, ingested twice or once."""
-    return tables.latest(_table(spark, d, "document"), "doc_id").drop("ingested_at")
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Documents, ingested twice or once; only the columns asked for are read and shuffled."""
+    return tables.latest(_table(spark, d, "document").select("doc_id", *columns, "ingested_at"), "doc_id").drop("ingested_at")
 
 
 def _searches(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +218,7 @@ _FILTERS = {
 
 
 def _filter_query(where: dict) -> Query:
-    return lambda spark, d: _documents(spark, d).where(compile_filter(where, F.col("meta"))).select("doc_id")
+    return lambda spark, d: _documents(spark, d, "meta").where(compile_filter(where, F.col("meta"))).select("doc_id")
 
 
 _REGISTRY.update({name: _filter_query(where) for name, where in _FILTERS.items()})
@@ -349,7 +349,7 @@ def prompts(spark, d):
 @_query
 def read_files(spark, d):
     """Contents of documents as files, read by the extension of their source; what cannot be read says why."""
-    files = _documents(spark, d).where("source IS NOT NULL AND content IS NOT NULL").select(F.col("source").alias("path"), F.octet_length("content").cast("bigint").alias("length"), F.encode("content", "utf-8").alias("content"))
+    files = _documents(spark, d, "source", "content").where("source IS NOT NULL AND content IS NOT NULL").select(F.col("source").alias("path"), F.octet_length("content").cast("bigint").alias("length"), F.encode("content", "utf-8").alias("content"))
     return readers.read_files(files).select("source", "seq", "section", "title", "content", "error")
 
 
@@ -362,13 +362,13 @@ def token_window_chunks(spark, d):
 
 @_query
 def char_chunks(spark, d):
-    rows = _documents(spark, d).where("content IS NOT NULL").select("doc_id", "content")
+    rows = _documents(spark, d, "content").where("content IS NOT NULL").select("doc_id", "content")
     return character_chunks(rows, 800, 100).select("doc_id", "idx", "content", "chunk_id")
 
 
 @_query
 def breadcrumbs(spark, d):
-    return _documents(spark, d).where("meta IS NOT NULL").select("doc_id", breadcrumb(F.col("meta")).alias("context"))
+    return _documents(spark, d, "meta").where("meta IS NOT NULL").select("doc_id", breadcrumb(F.col("meta")).alias("context"))
 
 
 # ---- tables, cache, workflow, evaluation --------------------------------------------------------------------------
