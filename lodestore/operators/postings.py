@@ -35,6 +35,12 @@ def corpus_stats(chunks: DataFrame, tokenizer: Tokenizer = tx.tokens) -> DataFra
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total")).withColumn("avgdl", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0))
 
 
+def index_stats(postings: DataFrame, chunks: DataFrame) -> tuple[int, float]:
+    """(n, avgdl) of an index that is built: no text is read. n counts the chunks, with a token or without."""
+    n = chunks.count()
+    return n, float(postings.agg(F.sum("tf").alias("t")).first()["t"] or 0) / max(n, 1)
+
+
 def term_stats(postings: DataFrame) -> DataFrame:
     """(term, df)."""
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

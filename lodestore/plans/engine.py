@@ -18,7 +18,7 @@ from ..operators.chunking import character_chunks
 from ..operators.context import metadata_context
 from ..operators.dense import search_dense
 from ..operators.embedding import Embedder, embed_chunks, embed_searches
-from ..operators.postings import corpus_stats, search_sparse
+from ..operators.postings import index_stats, search_sparse
 from ..operators.rerank import cut
 from ..sources.shared import written
 from ..sources.readers import read_files, with_meta
@@ -143,9 +143,10 @@ class Engine:
             vectors = embed_searches(searches, self.embedder, self.embed_batch, self.embed_workers)
             lists.append(fuse.label(search_dense(vectors, chunks, recall, where=where, floor=self.min_dense_score), True))
         if self.use_sparse:
-            stats = corpus_stats(chunks).first()
+            index = self.store.postings()
+            n, avgdl = index_stats(index, chunks)
             wanted = searches.where(F.col("target").isin("all", "sparse"))
-            lists.append(fuse.label(search_sparse(wanted, self.store.postings(), stats["n"], stats["avgdl"], recall, k1=self.k1, b=self.b, chunks=chunks, where=where), False))
+            lists.append(fuse.label(search_sparse(wanted, index, n, avgdl, recall, k1=self.k1, b=self.b, chunks=chunks, where=where), False))
         out = lists[0]
         for other in lists[1:]:
             out = out.unionByName(other)

@@ -125,8 +125,7 @@ def _index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
     """(numbers, postings by number, n, avgdl): text is read and cut into terms once; numbers keep the ids' order."""
     numbers = written(postings.numbered(chunks), "numbers")
     held = written(postings.build_postings(chunks).join(numbers, "chunk_id").select("term", "no", "tf", "dl"), "postings")
-    n = numbers.count()
-    return numbers, held, n, (held.agg(F.sum("tf").alias("t")).first()["t"] or 0) / max(n, 1)
+    return numbers, held, *postings.index_stats(held, numbers)
 
 
 def _search(numbers, index, n, avgdl, searches, k, **how) -> DataFrame:
