@@ -1,12 +1,11 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestore.operators import fusion, postings, rerank
 from lodestore.operators.dense import search_dense
 from lodestore.operators.expand import neighbours
-from lodestore.schema import META, meta_value
+from lodestore.schema import meta_value
 
 CHUNK = "chunk_id string, doc_id string, idx int, content string, context string, meta map<string,struct<t:string,s:string,d:double,b:boolean>>, embedding array<float>"
 
@@ -170,8 +169,3 @@ def test_neighbours(spark):
     assert neighbours(hits, held, 0).count() == 3
     loose = spark.createDataFrame([("q", 1, "n", None, 0, 1.0, "own")], schema)
     assert [r.content for r in neighbours(loose, held, 1).collect()] == ["own"]
-
-
-def test_meta_is_a_map():
-    assert META.keyType.typeName() == "string"
-    assert F is not None

@@ -53,6 +53,12 @@ def test_docx():
         readers.read_docx(data, 10)
 
 
+def test_white_space_around_texts():
+    assert readers.trim("\u2003 \u3000x\x1c\n\xa0") == "x\x1c"
+    assert readers.read_text("\ufeff".encode()).sections == [("", "\ufeff")]
+    assert readers.read_text(b"\xff ok").sections == [("", "\ufffd ok")]
+
+
 def test_dispatch_and_errors(spark):
     df = files(spark, ("a.TXT", b" text "), ("b.markdown", b"# H\nbody"), ("c.xyz", b"?"), ("d.txt", b"  "), ("e.txt", b"x" * 50), ("f.pdf", b"%PDF"), ("g.docx", b"no zip"))
     got = {r.source: r for r in readers.read_files(df, 40).collect()}
