@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.scores import top_k
 from .dense import cosine_table
+from .embedding import Embedder, embed_column
 
 
 class Scorer(Protocol):
@@ -72,6 +74,23 @@ def mmr(candidates: DataFrame, n: int, lam: float = 0.7) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(run, "query_id string, chunk_id string, score double, rank int")
 
 
+def mmr_reranker(embedder: Embedder | None = None, lam: float = 0.7) -> Callable[[DataFrame, int], DataFrame]:
+    """mmr as a reranker of candidates(query_id, rank, chunk_id, score, question, embedding).
+
+    Each question is embedded once; without an embedder relevance is the candidates' score. lam outside (0, 1] is 0.7.
+    """
+    lam = lam if 0 < lam <= 1 else 0.7
+
+    def run(candidates: DataFrame, n: int) -> DataFrame:
+        rows = candidates.select("query_id", "rank", "chunk_id", "score", "question", "embedding")
+        if embedder is None:
+            return mmr(rows.withColumn("vector", F.lit(None).cast("array<float>")), n, lam)
+        asked = rows.select("question").distinct()
+        return mmr(rows.join(asked.withColumn("vector", embed_column(F.col("question"), embedder)), "question"), n, lam)
+
+    return run
+
+
 def overlap_score(question: Column, content: Column) -> Column:
     """How many words of the question, with repeats, occur in the content."""
     body = F.lower(content)
