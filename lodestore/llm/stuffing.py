@@ -54,7 +54,8 @@ FUNCTION_WORDS = frozenset(
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<\|\w+\|>|</?\w+>|\[(?:CLS|SEP|PAD|UNK|MASK)\]")
-_END = re.compile(r"[.!?…]+(?=\W|$)(?!\d)|[。！？।۔؟]")
+#: An end of a sentence; odd characters may stick to it, digits (decimals) and letters (hosts) may not follow.
+_END = re.compile(r"[.!?…]+(?=\W|$|\w{0,2}[^\x00-\x7f]{1,6}(?:\s|$))(?!\d)|[。！？।۔؟]")
 _OTHER_SCRIPT = re.compile("[Ͱ-῿぀-ￜ]")
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿]")
 _CODE = re.compile(r"[{}]|\w\(|:=|[+*/-]=|&&|\|\||(?<!\w)--\w|\*\*\s*\d|\w\[\w+\]|^\s*(?:for|if|while|return|let|var|const|def|class|import|SELECT|curl|print|func|fn|#include)\b|\s==?\s|^\s*==|^\s*(?:#|//) \w|\s\|\s*\w+ -\w")

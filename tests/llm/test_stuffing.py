@@ -33,6 +33,7 @@ def test_stuffed(text):
         "12 3.5 0xFF 99 1,234 5 6 7 8 9 10 11 12 13 " * 5,
         "Новый порог объясняет датчик иногда. В июле сбой записал 16 строк. Если отчёт пуст, он старый.",
         "第二周的更新已经推迟了会議，但是索引没有通过。昨天的引用已经替换了记录，但是阀门没有通过。",
+        "Only the grader was checked in May.\u2116\xbd We measured it before the pump changed.e\u0301 The valve and the hose were seen.x\xb2",
         "Notes, the pump in March\n\nThe pump was checked by nobody.",
     ],
 )
