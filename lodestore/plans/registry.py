@@ -432,7 +432,7 @@ def cache_semantic(spark, d):
     """The nearest other vector of the same label, if it is near enough."""
     asked, held = _vectors(spark, d)
     labelled = asked.join(held.select(F.col("chunk_id").alias("query_id"), "label"), "query_id")
-    near = search_dense(asked, held, 10_000, floor=0.15).join(labelled.select("query_id", "label"), "query_id").join(held.select("chunk_id", "label"), ["chunk_id", "label"]).where("chunk_id <> query_id")
+    near = search_dense(labelled, held, 2, floor=0.15, within="label").where("chunk_id <> query_id")  # two, as one may be the vector itself
     best = top_k(near.drop("rank"), ["query_id"], 1, "dense")
     return best.select(F.col("query_id").cast("bigint").alias("query"), F.col("chunk_id").cast("bigint").alias("vec_id"), _r("dense").alias("cosine"))
 

@@ -60,3 +60,11 @@ def test_the_core_does_not_need_the_other_folder():
             with open(path) as f:
                 text = f.read()
             assert "from .llm" not in text and "..llm" not in text and "lodestore.llm" not in text
+
+
+def test_cache_semantic_beside_a_hot_label(spark, tmp_path):
+    """More than ten thousand vectors of another label are nearer than the nearest of the query's own."""
+    near = [(i, [1.0, 0.01 * (i % 7)], 0) for i in range(201, 10_301) if i % 100]
+    rows = [(100, [1.0, 0.0], 1), (103, [0.6, 0.8], 1), (200, [1.0, 0.0], 2), *near, *[(i, [0.9, 0.1], 3) for i in range(10_301, 10_500) if i % 100]]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in registry.queries()["cache_semantic"](spark, str(tmp_path)).collect()] == [(100, 103, 0.6)]

@@ -169,3 +169,12 @@ def test_neighbours(spark):
     assert neighbours(hits, held, 0).count() == 3
     loose = spark.createDataFrame([("q", 1, "n", None, 0, 1.0, "own")], schema)
     assert [r.content for r in neighbours(loose, held, 1).collect()] == ["own"]
+
+
+def test_dense_within_a_label(spark):
+    columns = "chunk_id string, label int, embedding array<float>"
+    held = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 2, [1.0, 0.0]), ("c", 1, [0.6, 0.8]), ("d", None, [1.0, 0.0]), ("e", 1, [0.0, 1.0])], columns)
+    asked = spark.createDataFrame([("p", 0, [1.0, 0.0], 1), ("q", 0, [1.0, 0.0], None), ("r", 0, [1.0, 0.0], 3)], "query_id string, search_no int, vector array<float>, label int")
+    for block in (20_000, 1):
+        got = search_dense(asked, held, 2, within="label", block=block, query_block=block).orderBy("rank").collect()
+        assert [(r.query_id, r.chunk_id, round(r.dense, 6), r["rank"]) for r in got] == [("p", "a", 1.0, 1), ("p", "c", 0.6, 2)]
