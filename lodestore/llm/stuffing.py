@@ -12,7 +12,8 @@ page with a long title and one sentence stays above), the rest is examined:
 Code, numbers and bare words are no stuffing, whatever their repetition.
 
 Defined results
-* Null, empty, blank and very short texts (under `least` terms) are not flagged.
+* Null, empty, blank and very short texts (under `least` terms) are not flagged. A run of a script without blanks
+  counts by its characters, and by repetition alone: many different keywords without blanks or order are not found.
 * Null ids are left out; of rows repeated under one id, one flagged row is enough. Other columns are not read.
 * Texts are whole: the work per lag is linear and the number of lags is fixed, so a long page costs linear time.
 """
@@ -60,6 +61,8 @@ _OTHER_SCRIPT = re.compile("[Ͱ-῿぀-ￜ]")
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿]")
 _CODE = re.compile(r"[{}]|\w\(|:=|[+*/-]=|&&|\|\||(?<!\w)--\w|\*\*\s*\d|\w\[\w+\]|^\s*(?:for|if|while|return|let|var|const|def|class|import|SELECT|curl|print|func|fn|#include)\b|\s==?\s|^\s*==|^\s*(?:#|//) \w|\s\|\s*\w+ -\w")
 _LAGS = 64
+#: In fewer characters (not words) the peak is often chance; the gaps are not.
+_CHANCE = 128
 
 
 def _visible(text: str) -> int:
@@ -136,11 +139,12 @@ def examine(text: str | None, limits: Limits = Limits()) -> tuple[bool, float, f
         return False, share, 0.0, 0.0
     terms = ["\x00" if _LINK.fullmatch(m[0]) else m[0].lower() for m in re.finditer(rf"{_LINK.pattern}|{_WORD.pattern}", bare, re.I)]
     words = [t for t in terms if t != "\x00"]
-    if len(terms) < limits.least:
-        return False, share, 0.0, 0.0
-    if _UNSPACED.search(plain) and len(_UNSPACED.findall(plain)) > 0.5 * total and not links:
+    few = len(terms) < limits.least
+    if (few or not links) and _UNSPACED.search(plain) and len(_UNSPACED.findall(plain)) > 0.5 * total:
         # scripts without blanks: look for repeated phrases instead of words
         terms = words = [c for c in plain if not c.isspace()]
+    if len(terms) < limits.least:
+        return False, share, 0.0, 0.0
     lines = [x for x in plain.splitlines() if x.strip()]
     code = sum(bool(_CODE.search(x)) for x in lines) / max(1, len(lines))
     letters = sum(w.isalpha() for w in words) / max(1, len(words))
@@ -152,7 +156,9 @@ def examine(text: str | None, limits: Limits = Limits()) -> tuple[bool, float, f
         return False, share, peak, gaps
     if letters < limits.letters and listed < limits.links:
         return False, share, peak, gaps
-    signs = peak >= limits.peak or gaps >= limits.gaps or listed >= limits.links or function < limits.function_words
+    # few: there are no words to tell from function words, and characters of a short run meet at a lag by chance
+    repeated = gaps >= limits.gaps or peak >= limits.peak and not (few and len(terms) < _CHANCE)
+    signs = repeated or listed >= limits.links or function < limits.function_words and not few
     return signs, share, peak, gaps
 
 

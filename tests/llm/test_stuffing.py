@@ -41,6 +41,26 @@ def test_not_stuffed(text):
     assert not examine(text)[0]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "便宜水泵" * 2500,
+        "便宜水泵" * 4,
+        "安いポンプ" * 2000,
+        "ราคา" * 2500,
+        "水泵价格阀门软管" * 300 + " http://a.test/1",
+        "水泵便宜\n" + "水泵" * 400,
+    ],
+)
+def test_keywords_without_blanks(text):
+    assert examine(text)[0]
+
+
+@pytest.mark.parametrize("text", ["水泵", "便宜水泵", "第二周的更新已经推迟了会議", "会議の資料は昨日の更新で新しい順位に戻した", "第二周的更新已经推迟了会議 http://a.test/1", "".join(map(chr, range(0x4E00, 0x4E00 + 900)))])
+def test_no_keywords_without_blanks(text):
+    assert not examine(text)[0]
+
+
 def test_regular_repetition_is_measured():
     peak, gaps = repetition(["a", "b", "c"] * 30)
     assert peak == 1.0
