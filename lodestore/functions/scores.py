@@ -26,9 +26,13 @@ def best_first(score: str = "score", key: str = "chunk_id") -> list[Column]:
     return [F.rint(F.nanvl(F.col(score), F.lit(float("-inf"))) * F.lit(1e9)).desc(), F.col(key).asc()]
 
 
+def ranked(rows: DataFrame, keys: list[str], score: str = "score", key: str = "chunk_id") -> DataFrame:
+    """All rows per keys with their rank from 1, best first."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first(score, key))))
+
+
 def top_k(rows: DataFrame, keys: list[str], k: int, score: str = "score", key: str = "chunk_id") -> DataFrame:
     """The k best rows per keys with their rank from 1. Spark cuts each task's share to k before the shuffle."""
     if k <= 0:
         return rows.limit(0).withColumn("rank", F.lit(1))
-    order = Window.partitionBy(*keys).orderBy(*best_first(score, key))
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked(rows, keys, score, key).where(F.col("rank") <= k)

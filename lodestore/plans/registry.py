@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as tx
 from ..functions.filters import compile_filter
 from ..functions.identity import chunk_id, document_id, uuid5
-from ..functions.scores import min_max, sigmoid, top_k
+from ..functions.scores import min_max, ranked, sigmoid, top_k
 from ..functions.vectors import hash_embedding
 from ..operators import fusion, postings, prompt, rerank, rewrite
 from ..operators.chunking import character_chunks, token_chunks
@@ -265,7 +265,7 @@ def sigmoid_norm(spark, d):
 def dense_floor(spark, d):
     """Vector hits of at least 0.4, ranked again."""
     kept = _hits(spark, d).where("is_dense AND score >= 0.4").drop("rank")
-    return top_k(kept, ["query_id", "search_no"], 1_000_000).select("query_id", "search_no", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
+    return ranked(kept, ["query_id", "search_no"]).select("query_id", "search_no", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 # ---- rerank, expand, prompt ---------------------------------------------------------------------------------------
@@ -316,7 +316,7 @@ def context_budget(spark, d):
 def lost_in_middle(spark, d):
     rows = _reranked(spark, d)
     n = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    placed = top_k(rows.select("query_id", "chunk_id", (-F.col("rank")).cast("double").alias("score")), ["query_id"], 1_000_000).join(n, "query_id")
+    placed = ranked(rows.select("query_id", "chunk_id", (-F.col("rank")).cast("double").alias("score")), ["query_id"]).join(n, "query_id")
     return placed.select("query_id", "chunk_id", (prompt.middle_position(F.col("rank") - 1, F.col("n")) + 1).cast("bigint").alias("place"))
 
 

@@ -68,3 +68,13 @@ def test_cache_semantic_beside_a_hot_label(spark, tmp_path):
     rows = [(100, [1.0, 0.0], 1), (103, [0.6, 0.8], 1), (200, [1.0, 0.0], 2), *near, *[(i, [0.9, 0.1], 3) for i in range(10_301, 10_500) if i % 100]]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in registry.queries()["cache_semantic"](spark, str(tmp_path)).collect()] == [(100, 103, 0.6)]
+
+
+def test_long_lists_keep_all_their_ranks(spark, monkeypatch):
+    n = 1_000_001
+    rows = spark.range(n).selectExpr("'q' AS query_id", "0 AS search_no", "true AS is_dense", "cast(id AS string) AS chunk_id", "0.5D AS score", "cast(id + 1 AS int) AS rank")
+    monkeypatch.setattr(registry, "_hits", lambda *_: rows)
+    monkeypatch.setattr(registry, "_reranked", lambda *_: rows)
+    for name, column in (("dense_floor", "rank"), ("lost_in_middle", "place")):
+        got = registry.queries()[name](spark, "").agg({"*": "count", column: "max"}).first()
+        assert sorted(got) == [n, n]
