@@ -1,3 +1,7 @@
+import math
+
+import pytest
+
 from lodestore.llm.ranking import first_of_each, list_entries, one_ranking, squashed
 
 SCHEMA = "query_id string, search_no int, is_dense boolean, rank int, chunk_id string, dense double, sparse double, score double, value string, kind string"
@@ -52,3 +56,19 @@ def test_weights(spark):
     top = lambda w: first_of_each(one_ranking(hits(spark, rows), w)).first().chunk_id
     assert top({"dense": 5.0}) == "a"
     assert top({"sparse": 5.0}) == "b"
+
+
+@pytest.mark.parametrize("ties", [1, 1_000])
+def test_medians_of_a_long_list_are_exact(spark, ties):
+    n = 200_001
+    score = f"floor(pmod(xxhash64(id), 1000000007) / {ties}) * 1e-3"
+    rows = spark.range(n).selectExpr("'q' AS query_id", "0 AS search_no", "'dense' AS kind", "cast(id AS string) AS chunk_id", f"cast({score} AS double) AS score")
+    short = spark.createDataFrame([("q", 0, "sparse", str(i), float(i)) for i in range(5)] + [("q", 0, "sparse", "5", None)], rows.schema)
+    got = squashed(rows.unionByName(short)).toPandas()
+    of = got[got["kind"] == "dense"]
+    middle = sorted(of["score"])[n // 2]
+    mad = sorted((of["score"] - middle).abs())[n // 2]
+    assert len(of) == n
+    for r in of.head(50).itertuples():
+        assert math.isclose(r.value, 1 / (1 + math.exp((middle - r.score) / (mad * 1.4826))), rel_tol=1e-12)
+    assert sorted(got[got["kind"] == "sparse"]["value"])[2:4] == [0.5, 0.5]
