@@ -4,7 +4,8 @@ Texts are cut into pre-tokens by the tokenizer's own pattern. A block of documen
 sequence of positions as slots of the block's list of distinct words; only those lists are exploded with their
 positions and shuffled by word, so a word that fills a third of the corpus sends one row per block. Every distinct
 word is encoded once for the whole corpus, its ids go back to the slots, and a block puts its documents together
-again by position.
+again by position. Decoding goes the other way: ids meet the table of token bytes in a join, and the bytes of a
+document are put together by position.
 
 Defined results
 * A null or an empty text has an empty list of ids; text that looks like a special token is ordinary text.
@@ -21,7 +22,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -139,3 +140,29 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([docs, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=[id_col, "ids"])
 
     return joined.mapInArrow(rebuild, out)
+
+
+def token_bytes(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(token, bytes): the table of token bytes; its size is that of the vocabulary."""
+    return spark.createDataFrame([(i, bytearray(b)) for b, i in _ranks(vocabulary).items()], "token int, bytes binary")
+
+
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY, run: int = 4_096) -> DataFrame:
+    """(id, text): the text of each row's ids by a join with the table of token bytes.
+
+    Rows are told apart by a number of their own, so repeated and null ids stay. Ids travel in runs of `run`; a run is
+    exploded by position, joined and put together, then the runs of a row are. A null or an empty list gives an empty
+    text; an id that the table lacks fails.
+    """
+    ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
+    rows = written(encoded.select(F.col(id_col).alias("d"), ids.alias("ids"), F.expr("uuid()").alias("row")), "ids")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0)), F.lit(run)), lambda at: F.slice("ids", at + 1, run))
+    tokens = rows.select("row", F.posexplode(parts).alias("part", "p")).select("row", "part", F.posexplode("p").alias("at", "token"))
+    # Every token of the corpus meets a table of fixed size: broadcast, no token is hot.
+    joined = tokens.join(F.broadcast(token_bytes(encoded.sparkSession, vocabulary)), "token", "left")
+    got = F.coalesce(F.col("bytes"), F.raise_error(F.format_string("no such token: %s", F.col("token").cast("string"))).cast("binary"))
+    inner = joined.groupBy("row", "part").agg(F.sort_array(F.collect_list(F.struct("at", got.alias("b")))).alias("t"))
+    inner = inner.select("row", "part", F.array_join(F.transform("t", lambda x: F.hex(x["b"])), "").alias("h"))
+    outer = inner.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("part", "h"))).alias("t"))
+    texts = outer.select("row", F.decode(F.unhex(F.array_join(F.transform("t", lambda x: x["h"]), "")), "utf-8").alias("text"))
+    return rows.select("row", "d").join(texts, "row", "left").select(F.col("d").alias(id_col), F.coalesce("text", F.lit("")).alias("text"))

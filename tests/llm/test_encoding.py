@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lodestore.llm.encoding import VOCABULARY, decode, encode_corpus, word_blocks
+from lodestore.llm.encoding import VOCABULARY, decode, decode_corpus, encode_corpus, word_blocks
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="the vocabulary is not there")
 JSON = os.path.join(os.path.dirname(VOCABULARY), "byte_bpe_50k.json")
@@ -49,3 +49,18 @@ def test_empty_repeats_and_null_ids(spark):
     assert encode_corpus(df.limit(0)).count() == 0
     only = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert [r.ids for r in encode_corpus(only).collect()] == [[], []]
+
+
+@pytest.mark.parametrize("run", [4_096, 3])
+def test_decoding_by_a_join_gives_the_texts_back(spark, run):
+    table = spark.createDataFrame([*rows(), (3, "Hello world", 1, "x"), (None, "no id", 1, "x")], "doc_id bigint, text string, token int, bytes string")
+    got = [(r.doc_id, r.text) for r in decode_corpus(encode_corpus(table), run=run).collect()]
+    assert sorted(got, key=repr) == sorted([(r.doc_id, r.text or "") for r in table.collect()], key=repr)
+
+
+def test_decoding_edges(spark):
+    table = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")
+    assert sorted((r.doc_id, r.text) for r in decode_corpus(table).collect()) == [(1, ""), (2, "")]
+    assert decode_corpus(table.limit(0)).count() == 0
+    with pytest.raises(Exception, match="no such token"):
+        decode_corpus(spark.createDataFrame([(1, [999_999])], "doc_id bigint, ids array<int>")).collect()
