@@ -15,6 +15,7 @@ Defined results
 * Dollar formulas belong to Markdown in Markdown surroundings, else to LaTeX. ref, math, syntaxhighlight and nowiki
   tags belong to wiki writing.
 * Unclosed code and tags reach to the end of the text or of their block. Nothing is cut short: texts are whole.
+* Markdown code that is only indented by four blanks is not recognised: it is read as other Markdown text.
 * Rows repeated under one id give the same rows once in p3_found. Null ids are left out. Other columns are not read.
 """
 
@@ -34,15 +35,17 @@ _P = "\x01(\\d+)\x02"  # a protected piece
 
 _PROTECTED = re.compile(
     r"(?ims)^[ ]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*(?:\n(?P<fenced>.*?))??(?:\n[ ]{0,3}(?P=fence)[`~]*[ \t]*$|\Z)"
-    r"|<(?P<tag>pre|syntaxhighlight|source|script|style|math)\b[^>]*>(?P<tagged>.*?)(?:</(?P=tag)\s*>|\Z)"
+    r"|<(?P<tag>pre|syntaxhighlight|source(?![^>]*\bsrc(?:set)?\s*=)|script|style|math)\b[^>]*>(?P<tagged>.*?)(?:</(?P=tag)\s*>|\Z)"
     r"|\\begin\{(?P<env>verbatim\*?|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?P<code>.*?)(?:\\end\{(?P=env)\}|\Z)"
     r"|\\begin\{(?P<menv>equation\*?|align\*?|gather\*?|multline\*?|displaymath|eqnarray\*?)\}(?P<formula>.*?)(?:\\end\{(?P=menv)\}|\Z)"
     r"|(?<!\$)\$\$(?P<display>[^$]+?)\$\$(?!\$)"
 )
 _HTML_TAG = r"(?:a|abbr|article|aside|b|big|blockquote|body|br|button|center|cite|code|dd|del|div|dl|dt|em|figure|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|li|link|main|mark|meta|nav|ol|p|q|s|section|small|span|strike|strong|sub|sup|table|tbody|td|tfoot|th|thead|title|tr|tt|u|ul)"
+#: The other elements, of graphics too. Names like these also stand in angle brackets in plain text: alone they prove nothing.
+_RARE_TAG = r"(?:acronym|address|altglyph|animate|animatemotion|animatetransform|applet|area|audio|base|basefont|bdi|bdo|canvas|caption|circle|clippath|col|colgroup|data|datalist|defs|desc|details|dfn|dialog|dir|ellipse|embed|fieldset|figcaption|filter|foreignobject|frame|frameset|g|hgroup|image|keygen|legend|line|lineargradient|map|marker|marquee|mask|menu|menuitem|meta|meter|nobr|noframes|noscript|object|optgroup|option|output|param|path|pattern|picture|polygon|polyline|progress|radialgradient|rect|rp|rt|ruby|samp|search|select|slot|source|stop|summary|svg|symbol|template|text|textarea|textpath|time|track|tspan|use|var|video|wbr)"
 _EVIDENCE = {
     "latex": re.compile(r"\\(?:documentclass|begin|end|usepackage|title|author|(?:sub){0,2}section|(?:sub)?paragraph|chapter|part|textbf|textit|texttt|textsc|emph|underline|cite[pt]?|ref|eqref|label|href|footnote|url|caption)\*?\s*[\[{]|^\s*\\item\b|\\\((?:(?!\\\().)+?\\\)|\\\[(?:(?!\\\[).)+?\\\]", re.M | re.S),
-    "html": re.compile(rf"</?{_HTML_TAG}(?:\s[^<>]*)?/?>|<!--|<!doctype\b", re.I),
+    "html": re.compile(rf"</?{_HTML_TAG}(?:\s[^<>]*)?/?>|</{_RARE_TAG}\s*>|<{_RARE_TAG}\s+[\w:-]+\s*=[^<>]*>|<!--|<!doctype\b", re.I),
     "wiki": re.compile(r"^(={1,6})[ \t]*[^=\s](?:[^\n]*?[^=\s])?[ \t]*\1[ \t]*$|''[^'\n]+''|\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|\[https?://[^\s\[\]]+ [^\[\]\n]+\]|__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__|</?(?:ref|nowiki|gallery|references)\b[^>]*>|^\{\|", re.M),
     "markdown": re.compile(r"^[ ]{0,3}#{1,6}[ \t]+\S|^[^\s\n][^\n]*\n[ ]{0,3}(?:={3,}|-{3,})[ \t]*$|(?<![\w*\\])(\*{1,3})(?=[^\s*])[^*\n]+?(?<=[^\s*])\1(?![\w*])|(?<![\w\\])(_{1,3})(?=[^\s_])(?!_{0,2}(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)_)[^\n]+?(?<=[^\s_])\2(?!\w)|(?<!~)~~(?=[^\s~])[^~\n]*~~|(?<![`\\])`(?=[^`\s])[^`\n]+`(?!`)|!?\[[^\[\]\n]+\]\([^)\s]+\)|\[\^[\w-]+\]|^[ ]{0,3}>[ \t]", re.M),
 }
@@ -210,8 +213,8 @@ def content_region(body: str, pieces: list[_Piece], weights: dict[str, float]) -
 
 # ---- inline marks -------------------------------------------------------------------------------------------------
 
-_BLOCK_TAG = re.compile(r"</?(?:p|div|br|hr|table|tr|td|th|ul|ol|section|article|blockquote|body|html|head|header|footer|nav|dl|dt|dd|form)\b[^<>]*>", re.I)
-_ANY_TAG = re.compile(rf"</?{_HTML_TAG}(?:\s[^<>]*)?/?>", re.I)
+_BLOCK_TAG = re.compile(r"</?(?:p|div|br|hr|table|tr|td|th|ul|ol|section|article|blockquote|body|html|head|header|footer|nav|dl|dt|dd|form|details|summary|figure|figcaption|caption|option|optgroup|fieldset|legend|address|dialog)\b[^<>]*>", re.I)
+_ANY_TAG = re.compile(rf"</?(?:{_HTML_TAG}|{_RARE_TAG})(?:\s[^<>]*)?/?>", re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 
 
@@ -225,13 +228,42 @@ def _inline_html(t: str) -> str:
     return html.unescape(_ANY_TAG.sub("", t))
 
 
+def _without_templates(t: str) -> str:
+    """The text without {{...}}, however deep they nest, in one scan; what holds a single brace is no template."""
+    opened: list[list[int]] = []  # start and length of runs of braces that wait for their ends
+    gone: list[tuple[int, int]] = []
+    for m in re.finditer(r"\{+|\}+", t):
+        at, left = m.start(), m.end() - m.start()
+        if t[at] == "{":
+            opened.append([at, left])
+            if left == 1:
+                opened.clear()
+            continue
+        while left > 1 and opened:
+            run = opened[-1]
+            run[1] -= 2
+            at, left = at + 2, left - 2
+            start = run[0] + run[1]
+            while gone and gone[-1][0] >= start:
+                gone.pop()
+            gone.append((start, at))
+            if run[1] == 1:
+                opened.clear()
+            elif not run[1]:
+                opened.pop()
+        if left:
+            opened.clear()
+    out, last = [], 0
+    for start, end in gone:
+        out.append(t[last:start])
+        last = end
+    return "".join([*out, t[last:]])
+
+
 def _inline_wiki(t: str) -> str:
     t = _COMMENT.sub("", t)
     t = re.sub(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?(?:</ref\s*>|\Z)", "", t, flags=re.S | re.I)
-    for _ in range(8):  # templates may nest
-        t, n = re.subn(r"\{\{[^{}]*\}\}", "", t)
-        if not n:
-            break
+    t = _without_templates(t)
     t = re.sub(r"\[\[(?:Category|File|Image):[^\[\]]*\]\]", "", t, flags=re.I)
     t = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", t)
     t = re.sub(r"\[https?://[^\s\[\]]+ ([^\[\]\n]+)\]", r"\1", t)

@@ -65,3 +65,27 @@ def test_tables(spark):
     got = {tuple(r) for r in found_elements(clean_documents(df)).collect()}
     assert got == {("a", "markdown", "document", ""), ("a", "markdown", "heading", "H")}
     assert found_elements(clean_documents(df.limit(0))).count() == 0
+
+
+def test_every_known_tag_is_stripped():
+    text = '<h1>Pump</h1><details open><summary>More</summary><p>The <var>x</var> and <samp>out</samp> of the pump were read.</p></details><figure><figcaption>The room</figcaption></figure><table><caption>Sizes</caption><tr><td>one valve</td></tr></table><video controls><source src="a.mp4">No film here</video><select name=q><option value=1>red</option></select><noscript>Turn it on</noscript><svg width=4><path d="M0 0"/></svg><p>It ran well in May, and nobody saw a leak.</p>'
+    out, kinds, elements = clean(text)
+    assert kinds == ["html"]
+    assert elements == [("html", "heading", "Pump")]
+    assert "<" not in out
+    for word in ("More", "The x and out of the pump", "The room", "Sizes", "No film here", "nobody saw a leak"):
+        assert word in out
+    assert clean("<details><summary>More</summary>It ran well.</details>")[1] == ["html"]
+
+
+@pytest.mark.parametrize("text", ["Give it <time> and <var> as they stand.", "A map<data> or list<object> will do."])
+def test_names_in_angle_brackets_are_no_tags(text):
+    assert clean(text) == (text, [], [])
+
+
+def test_templates_nest_to_any_depth():
+    deep = "{{a|" * 40 + "x" + "}}" * 40
+    out = clean(f"== Use ==\nThe pump {deep}was checked in May. It {{{{b}}}}ran ''well'' for ten days.")[0]
+    assert "{" not in out
+    assert "The pump was checked in May. It ran well for ten days." in out
+    assert len(clean("== Use ==\nThe pump ran. " + "{{" * 100_000 + "}}" * 100_000)[0]) < 100
