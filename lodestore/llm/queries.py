@@ -66,7 +66,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.flagged(stuffing.stuffed_pages(table(spark, sf_dir, "documents")))
+    return stuffing.flagged(stuffing.stuffed_pages(table(spark, sf_dir, "documents"), lang_col="lang"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,179 +1,315 @@
-"""Keyword-stuffed and link-list pages: recurrence gaps, positional autocorrelation, noun lists.
+"""Keyword-stuffed and link-list pages: recurrence gaps, positional autocorrelation, lists without function words.
 
-A page is read as a sequence of terms (words, and one term for every link). What its sentences hold is set aside:
-a sentence ends like one and has function words (or is written in a script that this list of function words does
-not cover). If sentences hold less than about a third of the page's characters (a prose
-page with a long title and one sentence stays above), the rest is examined:
+A page is a sequence of terms (words, characters of scripts without blanks, and one term for every link). Sentences show
+in the gaps between function words: in running text one follows another within a few terms, in lists of keywords, tags,
+names or links none does. Which words these are is learnt from the whole corpus: words that many texts of a language
+have and that stand in sentences, hardly ever in what is no sentence. Three things take a stretch of terms out of the text
+that flows:
 
-* regular repetition: the greatest share of places that hold the same term again at one lag within the lag window
-  (autocorrelation), and the share of recurrences whose gap equals the term's usual gap;
-* lists: hardly any function words among many terms; or links in a large share of the places.
+* no function word within `gap` terms: a list of nouns, tags, names or links;
+* a term, no function word or number, that comes back at gaps of at most `close` terms, `runs` times on end;
+* a lag within the lag window at which half of a window's terms come back (positional autocorrelation).
 
-Code, numbers and bare words are no stuffing, whatever their repetition.
+A page whose flowing text is less than half of it (`most`), by characters, is stuffed, unless it is code or numbers.
 
 Defined results
-* Null, empty, blank and very short texts (under `least` terms) are not flagged. A run of a script without blanks
-  counts by its characters, and by repetition alone: many different keywords without blanks or order are not found.
+* Null, empty and blank texts are not flagged. A page of fewer than `least` terms is flagged only if at least four
+  terms are there and repetition or links fill half of it, so a bare word is none.
+* In a script of which the corpus has taught no function words, sentences are told by their end marks, and only
+  repetition or links that fill half of a page flag it.
 * Null ids are left out; of rows repeated under one id, one flagged row is enough. Other columns are not read.
-* Texts are whole: the work per lag is linear and the number of lags is fixed, so a long page costs linear time.
+* Copies of a text count once in what is learnt. An empty corpus teaches nothing and gives an empty result.
+* Texts are whole; the work is that of sorting a page's terms.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass
+import unicodedata
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Function words of English, German, Spanish, French, Russian, Italian, Portuguese, Dutch, Polish and Swedish.
-FUNCTION_WORDS = frozenset(
-    """
-    a an the and or but if of in on at by to from with without for as is are was were be been not no nor it its this
-    that these those there then than so such we you he she they i our your their his her my who which what when where
-    while until how why do does did has have had can could will would should may must any every each all both only most
-    more some please nobody about into over under after before because although yet whenever
-    der die das den dem des ein eine einen einem einer eines und oder aber wenn nicht kein keine im am an auf aus bei
-    mit nach von vor zu zum zur über unter für als auch ist sind war wird werden hat haben es er sie wir ihr man nur
-    noch ohne während bis dass wie seit bevor niemand
-    el la los las un una unos unas y o pero si de del al con sin por para como que se su sus es son fue era lo le les más
-    muy ya nadie cuando aunque quién hay
-    une des et ou mais ne pas en du au aux avec pour par comme qui sa son ses est sont était elle nous vous ce
-    cette ces plus très sur dans où l d qu n personne quand il on
-    и в во не на с со к по о об от до из за у без для при но или что как это его её их мы вы он она они никто уже был
-    была были
-    gli i uno e ma non della dei alla senza per che è sono da nel nella su più quando
-    os as um uma em do da dos das com sem são foi ao mais não
-    het een van maar als niet op met zonder voor door zijn naar bij wanneer ook
-    w z nie że się jest od po przez dla ale lub gdy co jak bez
-    och på av för att det ett som är inte med till
-    """.split()
-)
-
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+from .shared import written
+
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'()\[\]]+", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<\|\w+\|>|</?\w+>|\[(?:CLS|SEP|PAD|UNK|MASK)\]")
-#: An end of a sentence; odd characters may stick to it, digits (decimals) and letters (hosts) may not follow.
-_END = re.compile(r"[.!?…]+(?=\W|$|\w{0,2}[^\x00-\x7f]{1,6}(?:\s|$))(?!\d)|[。！？।۔؟]")
-_OTHER_SCRIPT = re.compile("[Ͱ-῿぀-ￜ]")
-_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿]")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<\|\w+\|>|\[(?:CLS|SEP|PAD|UNK|MASK)\]")
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿"
+#: A link, a character of a script without blanks, a word, an end of a sentence, an end of a line.
+_TERM = re.compile(rf"(?:https?://|www\.)[^\s<>\"'()\[\]]+|[{_UNSPACED}]|[^\W_{_UNSPACED}]+(?:['’][^\W_]+)?|[.!?…]+(?!\w)|[。！？।۔؟]|\n")
 _CODE = re.compile(r"[{}]|\w\(|:=|[+*/-]=|&&|\|\||(?<!\w)--\w|\*\*\s*\d|\w\[\w+\]|^\s*(?:for|if|while|return|let|var|const|def|class|import|SELECT|curl|print|func|fn|#include)\b|\s==?\s|^\s*==|^\s*(?:#|//) \w|\s\|\s*\w+ -\w")
 _LAGS = 64
-#: In fewer characters (not words) the peak is often chance; the gaps are not.
-_CHANCE = 128
-
-
-def _visible(text: str) -> int:
-    return sum(map(len, text.split()))
-
-
-def _sentence(unit: str) -> bool:
-    if _UNSPACED.search(unit):
-        return len(_UNSPACED.findall(unit)) >= 4
-    got = _WORD.findall(unit)
-    if len(got) < 3:
-        return False
-    return sum(w.lower() in FUNCTION_WORDS for w in got) >= 0.12 * len(got) or len(_OTHER_SCRIPT.findall(unit)) > len(unit) // 3
-
-
-def set_sentences_aside(text: str) -> tuple[int, list[str]]:
-    """(visible characters in sentences, what else there is); the text has no links and tags, sentences end within their line."""
-    held, rest = 0, []
-    for line in text.splitlines():
-        at = 0
-        for m in _END.finditer(line):
-            unit = line[at : m.start()]
-            at = m.end()
-            if _sentence(unit):
-                held += _visible(unit) + 1
-            else:
-                rest.append(unit)
-        rest.append(line[at:])
-    return held, rest
-
-
-def repetition(terms: list[str]) -> tuple[float, float]:
-    """(autocorrelation peak over the lag window, share of recurrences at their term's usual gap)."""
-    n = len(terms)
-    if n < 4:
-        return 0.0, 0.0
-    code = np.unique(np.array(terms, dtype=object).astype(str), return_inverse=True)[1]
-    peak = max(float((code[lag:] == code[:-lag]).mean()) for lag in range(1, min(_LAGS, n // 2) + 1))
-    order = np.lexsort((np.arange(n), code))
-    gap = np.diff(order)[code[order][1:] == code[order][:-1]]
-    own = code[order][1:][code[order][1:] == code[order][:-1]]
-    if not len(gap):
-        return peak, 0.0
-    pair, count = np.unique(np.stack([own, gap]), axis=1, return_counts=True)
-    usual = np.zeros(code.max() + 1, np.int64)
-    np.maximum.at(usual, pair[0], count)
-    return peak, float(usual[usual > 1].sum() / n)
+_END_MARK, _NEW_LINE, _LINK_TERM, _NUMBER, _WORD = range(5)
 
 
 @dataclass(frozen=True)
 class Limits:
-    """sentences: the share of characters from which a page is prose. The others: from where a sign counts."""
+    """gap, close, runs: see above. share, odds: from where a word is a function word (see function_words)."""
 
-    sentences: float = 0.35
+    most: float = 0.5
+    gap: int = 10
+    close: int = 4
+    runs: int = 3
     least: int = 8
-    peak: float = 0.12
-    gaps: float = 0.2
-    links: float = 0.15
-    function_words: float = 0.1
     code: float = 0.5
     letters: float = 0.4
+    share: float = 0.05
+    odds: float = 100.0
+
+
+def script(word: str) -> str:
+    """The script of a word's first character, as Unicode names it."""
+    return unicodedata.name(word[0], "?").split()[0]
+
+
+class _Codes(dict):
+    """Terms to numbers, with what is known of each in arrays; forgets all when it holds too many."""
+
+    def __init__(self, known: frozenset[str] = frozenset(), most: int = 500_000):
+        super().__init__()
+        self.known, self.most, self.scripts = known, most, frozenset(script(w) for w in known)
+        self.terms: list[str] = []
+        self.kind, self.width = np.zeros(4096, np.int8), np.zeros(4096, np.int32)
+        self.function, self.taught = np.zeros(4096, bool), np.zeros(4096, bool)
+
+    def __missing__(self, term: str) -> int:
+        if term == "\n":
+            kind = _NEW_LINE
+        elif term.startswith(("http:", "https:", "www.")):
+            kind = _LINK_TERM
+            if "\0" in self:
+                return self["\0"]  # all links are one term
+        elif term[0] in ".!?…。！？।۔؟":
+            kind = _END_MARK
+        else:
+            kind = _NUMBER if any(x.isdigit() for x in term) else _WORD
+        code = len(self.terms)
+        self["\0" if kind == _LINK_TERM else term] = code
+        self.terms.append(term)
+        if code == len(self.kind):
+            for name in ("kind", "width", "function", "taught"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        self.kind[code], self.width[code] = kind, len(term)
+        self.function[code], self.taught[code] = term in self.known, kind == _WORD and script(term) in self.scripts
+        return code
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, lengths) of all terms, end marks and line ends of a text."""
+        if len(self) > self.most:
+            self.__init__(self.known, self.most)
+        if "<" in text or "[" in text:
+            text = _TAG.sub(lambda m: " " + " ".join(_LINK.findall(m[0])) + " ", text)
+        got = _TERM.findall(text.lower())
+        at = np.fromiter((self[t] for t in got), np.int64, len(got))
+        width = self.width[at]
+        if "\0" in self:
+            links = np.flatnonzero(at == self["\0"])
+            width[links] = [len(got[i]) for i in links]
+        return at, width
 
 
-def examine(text: str | None, limits: Limits = Limits()) -> tuple[bool, float, float, float]:
-    """(flagged, sentence share, autocorrelation peak, regular gaps) of one page."""
-    if not text or not text.strip():
-        return False, 0.0, 0.0, 0.0
-    bare = _TAG.sub(lambda m: " " + " ".join(_LINK.findall(m[0])) + " ", text)
-    plain, links = _LINK.subn(" ", bare)
-    total = max(1, _visible(bare))
-    held, rest = set_sentences_aside(plain)
-    share = held / total
-    if share >= limits.sentences:
-        return False, share, 0.0, 0.0
-    terms = ["\x00" if _LINK.fullmatch(m[0]) else m[0].lower() for m in re.finditer(rf"{_LINK.pattern}|{_WORD.pattern}", bare, re.I)]
-    words = [t for t in terms if t != "\x00"]
-    few = len(terms) < limits.least
-    if (few or not links) and _UNSPACED.search(plain) and len(_UNSPACED.findall(plain)) > 0.5 * total:
-        # scripts without blanks: look for repeated phrases instead of words
-        terms = words = [c for c in plain if not c.isspace()]
-    if len(terms) < limits.least:
-        return False, share, 0.0, 0.0
-    lines = [x for x in plain.splitlines() if x.strip()]
-    code = sum(bool(_CODE.search(x)) for x in lines) / max(1, len(lines))
-    letters = sum(w.isalpha() for w in words) / max(1, len(words))
-    listed = links / len(terms)
-    others = [w.lower() for unit in rest for w in _WORD.findall(unit)]
-    function = sum(w in FUNCTION_WORDS for w in others) / max(1, len(others))
-    peak, gaps = repetition(terms)
-    if code >= limits.code and listed < 0.3:
-        return False, share, peak, gaps
-    if letters < limits.letters and listed < limits.links:
-        return False, share, peak, gaps
-    # few: there are no words to tell from function words, and characters of a short run meet at a lag by chance
-    repeated = gaps >= limits.gaps or peak >= limits.peak and not (few and len(terms) < _CHANCE)
-    signs = repeated or listed >= limits.links or function < limits.function_words and not few
-    return signs, share, peak, gaps
-
-
-def stuffed_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """(id, stuffed, sentences, peak, gaps): one narrow stage without a shuffle."""
+def _units(kind: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit of each term, whether each unit is a sentence): closed by an end mark on its line, three words at least."""
+    cut = kind <= _NEW_LINE
+    unit = np.cumsum(cut) - cut
+    n = int(unit[-1]) + 1 if len(unit) else 0
+    closed = np.zeros(n, bool)
+    closed[unit[cut]] = kind[cut] == _END_MARK
+    return unit, closed & (np.bincount(unit[word], minlength=n) >= 3)
+
+
+def function_words(documents: DataFrame, text_col: str = "text", lang_col: str | None = None, limits: Limits = Limits()) -> frozenset[str]:
+    """Words that at least `share` of a language's texts have (by the lower bound of a Wilson interval of three deviations)
+    and that stand in sentences `odds` times as often as outside on pages that are not mostly sentences, counted over all texts.
+
+    A text with many copies counts once: each copy has its part (a text of less than a ten-thousandth of the rows is
+    let off, so at most 10,000 counts of copies are broadcast). A language is the first two letters of lang_col, right or wrong: only a word's commonness is told by it, and a word
+    found in one language counts in all. Texts without one are a group of their own. What reaches the driver is bounded:
+    a language has at most (mean number of distinct words of a text) / share such words, and two letters name at most 677 groups.
+    """
+
+    def count(batches):
+        codes = _Codes()
+        texts: dict[str, float] = {}
+        table: dict[tuple[str, int], list[float]] = {}
+
+        def flush():
+            rows = [(g, codes.terms[c], *v) for (g, c), v in table.items()] + [(g, "", n, 0.0, 0.0) for g, n in texts.items()]
+            table.clear()
+            texts.clear()
+            return pd.DataFrame(rows, columns=["lang", "term", "df", "inside", "outside"])
+
+        for pdf in batches:
+            for lang, text, part in zip(pdf["l"], pdf["t"], pdf["part"]):
+                if len(codes) > 400_000:  # numbers of terms are kept until their counts are sent
+                    yield flush()
+                    codes = _Codes()
+                at, _ = codes.read(text)
+                if not len(at):
+                    continue
+                kind = codes.kind[at]
+                word = kind == _WORD
+                unit, sentence = _units(kind, word)
+                texts[lang] = texts.get(lang, 0.0) + part
+                c, w = np.unique(at[word], return_inverse=True)
+                inside = np.bincount(w, weights=sentence[unit[word]], minlength=len(c))
+                listing = 2 * inside.sum() < len(w)  # titles of pages of sentences are no lists
+                total = np.bincount(w, minlength=len(c)) if listing else inside
+                for code, i, o in zip(c.tolist(), (part * inside).tolist(), (part * (total - inside)).tolist()):
+                    v = table.get((lang, code))
+                    if v is None:
+                        table[lang, code] = [part, i, o]
+                    else:
+                        v[0] += part
+                        v[1] += i
+                        v[2] += o
+            if len(table) > 500_000:
+                yield flush()
+        yield flush()
+
+    lang = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col(lang_col).cast("string"), F.lit("")))), "^[a-z]{2}", 0) if lang_col else F.lit("")
+    rows = documents.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").select(lang.alias("l"), F.col(text_col).cast("string").alias("t"))
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, rows.count() // 10_000))
+    rows = rows.join(F.broadcast(copies), "h", "left").select("l", "t", (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("part"))
+    counted = rows.mapInPandas(count, "lang string, term string, df double, inside double, outside double").groupBy("term", "lang").agg(*(F.sum(c).alias(c) for c in ("df", "inside", "outside")))
+    counted = written(counted, "words")
+    texts = {r["lang"]: round(r["df"]) for r in counted.where("term = ''").collect()}
+    if not texts:
+        return frozenset()
+    bound = F.create_map(*(F.lit(x) for g, n in texts.items() for x in (g, _least(n, limits.share))))
+    able = counted.where((F.col("term") != "") & (F.col("df") > bound[F.col("lang")] - 1e-6))
+    odds = counted.groupBy("term").agg(F.sum("inside").alias("s"), F.sum("outside").alias("o")).where(F.col("s") >= F.lit(limits.odds) * F.col("o"))
+    return frozenset(r["term"] for r in able.select("term").distinct().join(odds.select("term"), "term").collect())
+
+
+def _least(n: int, share: float, z: float = 3.0) -> int:
+    """The least count of n, three at least, whose Wilson lower bound reaches share; n + 1 if none does."""
+
+    def low(k: int) -> float:
+        p = k / n
+        return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    lo, hi = min(3, n + 1), n + 1
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if low(mid) >= share:
+            hi = mid
+        else:
+            lo = mid + 1
+    return lo
+
+
+def regular(codes: np.ndarray, free: np.ndarray, limits: Limits) -> np.ndarray:
+    """Which terms stand in unnaturally regular repetition; terms marked free (function words, numbers) never start it."""
+    n = len(codes)
+    out = np.zeros(n, bool)
+    if n < 4:
+        return out
+    order = np.lexsort((np.arange(n), codes))
+    gap = np.zeros(n, np.int64)  # to the last place of the same term, 0: none
+    same = codes[order][1:] == codes[order][:-1]
+    gap[order[1:]] = np.where(same, np.diff(order), 0)
+    gap[free] = 0
+    # a term at close gaps, several times on end
+    close = np.concatenate([(gap[order] > 0) & (gap[order] <= limits.close), [False]])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], close.astype(np.int8)])))
+    starts, ends = edge[::2], edge[1::2]
+    long = ends - starts >= limits.runs
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, order[starts[long] - 1], 1)
+    np.add.at(mark, order[ends[long] - 1] + 1, -1)
+    # a lag at which half of a window comes back
+    counts = np.bincount(np.minimum(gap, _LAGS + 1), minlength=_LAGS + 2)
+    for lag in np.flatnonzero(counts[1 : _LAGS + 1] >= 4) + 1:
+        size = min(n, max(2 * int(lag), 16))
+        sums = np.concatenate([[0], np.cumsum(gap == lag)])
+        full = np.flatnonzero(2 * (sums[size:] - sums[:-size]) >= size)
+        np.add.at(mark, np.maximum(full - lag, 0), 1)
+        np.add.at(mark, full + size, -1)
+    return np.cumsum(mark[:n]) > 0
+
+
+def flowing(function: np.ndarray, gap: int) -> np.ndarray:
+    """Which terms stand between function words that follow one another within `gap` terms."""
+    n = len(function)
+    ends = np.concatenate([[-1], np.flatnonzero(function), [n]])
+    if len(ends) == 2:
+        return np.zeros(n, bool)
+    near = np.diff(ends) <= gap
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, np.maximum(ends[:-1][near], 0), 1)
+    np.add.at(mark, np.minimum(ends[1:][near] + 1, n), -1)
+    return np.cumsum(mark[:n]) > 0
+
+
+@dataclass
+class Reader:
+    """Judges pages by the function words it is given."""
+
+    known: frozenset[str]
+    limits: Limits = Limits()
+    codes: _Codes = field(init=False)
+
+    def __post_init__(self):
+        self.codes = _Codes(self.known)
+
+    def __call__(self, text: str | None) -> tuple[bool, float, float]:
+        """(stuffed, share of the page that flows, share in regular repetition)."""
+        limits = self.limits
+        if not text or not text.strip():
+            return False, 0.0, 0.0
+        at, size = self.codes.read(text)
+        kind = self.codes.kind[at]
+        term = kind >= _LINK_TERM
+        own, width, what = at[term], size[term], kind[term]
+        n, word = len(own), what == _WORD
+        if not n:
+            return False, 0.0, 0.0
+        free = self.codes.function[own]
+        total = float(width.sum())
+        linked = float(width[what == _LINK_TERM].sum()) / total
+        taught = not word.any() or 2 * self.codes.taught[own].sum() > word.sum()
+        if taught:
+            flow = flowing(free, limits.gap)
+        else:
+            unit, sentence = _units(kind, kind == _WORD)
+            flow = sentence[unit[term]]
+        again = regular(own, free | (what == _NUMBER), limits)
+        share = float(width[flow & ~again].sum()) / total
+        repeated = float(width[again].sum()) / total
+        if share >= limits.most:
+            return False, share, repeated
+        lines = [x for x in text.splitlines() if x.strip()]
+        if sum(bool(_CODE.search(_LINK.sub("", x))) for x in lines) >= limits.code * len(lines) or linked < limits.most and word.mean() < limits.letters:
+            return False, share, repeated
+        if n < limits.least or not taught:
+            return n >= 4 and max(repeated, linked) >= limits.most, share, repeated
+        return True, share, repeated
+
+
+def stuffed_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, limits: Limits = Limits(), known: frozenset[str] | None = None) -> DataFrame:
+    """(id, stuffed, flow, repeated): one pass that counts words, one narrow stage that judges pages.
+
+    Of the first only counts per word and language travel, added up on the map side; no text is shuffled.
+    """
+    if known is None:
+        known = function_words(documents, text_col, lang_col, limits)
+    shared = documents.sparkSession.sparkContext.broadcast(known)  # bounded, see function_words
 
     def run(batches):
+        judge = Reader(shared.value, limits)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            got = [examine(t, limits) for t in pdf["t"]]
-            yield pd.DataFrame({id_col: pdf["i"].to_numpy(dtype=object), "stuffed": [g[0] for g in got], "sentences": [g[1] for g in got], "peak": [g[2] for g in got], "gaps": [g[3] for g in got]})
+            if len(pdf):
+                got = [judge(t) for t in pdf["t"]]
+                yield pd.DataFrame({id_col: pdf["i"].to_numpy(dtype=object), "stuffed": [g[0] for g in got], "flow": [g[1] for g in got], "repeated": [g[2] for g in got]})
 
     rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInPandas(run, f"`{id_col}` bigint, stuffed boolean, sentences double, peak double, gaps double")
+    return rows.mapInPandas(run, f"`{id_col}` bigint, stuffed boolean, flow double, repeated double")
 
 
 def flagged(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
