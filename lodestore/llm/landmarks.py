@@ -3,11 +3,14 @@
 A rolling hash over the bytes marks landmarks that depend only on the bytes around them. From the start of a piece
 the first landmark between the minimum and the maximum size is taken and snapped to the nearest natural boundary of
 the coarsest kind there is in reach (blank line, line, white space, character); so an edit moves only the cuts near
-it. Consecutive pieces share `overlap_bytes`, moved forward to the start of a character.
+it. Consecutive pieces share `overlap_bytes`, moved forward to the start of a character. Which kind of boundary alone
+suffices is told by the same cutter, confined to one kind without overlap: it gets through or it meets a stretch that
+no boundary of that kind cuts in time.
 
 Defined results
 * Sizes are UTF-8 bytes. A piece is measured without surrounding blanks, tabs and newlines; a piece that holds
   nothing else is left out, but an item of blanks alone keeps one empty piece. Pieces are numbered from 0; the overlap counts towards the limit.
+* Any overlap from 0 to below the limit is kept as asked (null: 0); a negative one or one at the limit or above is an error.
 * Items within the limit are not split and do not come out. Null contents are not items.
 * Rows repeated under one id count once: the longest content, then the greatest in string order.
 * boundary is the coarsest kind that alone gives pieces within the limit: paragraph, line, word or none.
@@ -30,13 +33,6 @@ _EDGE = " \t\r\n"
 _WINDOW = 24
 
 
-def coarsest_boundary(text: str, limit: int) -> str:
-    for level, cut in zip(LEVELS, _CUTS):
-        if all(len(p.strip(_EDGE).encode()) <= limit for p in cut.split(text)):
-            return level
-    return "none"
-
-
 def landmarks(data: np.ndarray, spacing: int) -> np.ndarray:
     """Offsets after which the hash of the last _WINDOW bytes is 0 modulo spacing, found for all offsets at once."""
     n = len(data)
@@ -53,55 +49,95 @@ def landmarks(data: np.ndarray, spacing: int) -> np.ndarray:
     return np.flatnonzero((h >> np.uint64(33)) % np.uint64(spacing) == 0) + _WINDOW
 
 
-def _nearest(sorted_at: np.ndarray, lo: int, hi: int, goal: int) -> int | None:
-    """The element of [lo, hi] nearest to goal, the larger one on a tie."""
-    i, j = np.searchsorted(sorted_at, lo), np.searchsorted(sorted_at, hi, "right")
-    if i >= j:
+class Text:
+    """A text's bytes, its landmarks, and for each kind of boundary where pieces may stop and where the next begins."""
+
+    def __init__(self, text: str):
+        self.raw = text.encode()
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.starts = np.flatnonzero((self.data & 0xC0) != 0x80)  # the first byte of each character
+        n = len(self.raw)
+        place = np.append(self.starts, n)
+        edges = np.isin(self.data, np.frombuffer(_EDGE.encode(), np.uint8))
+        solid = np.flatnonzero(~edges)
+        #: For every offset, where the text before it ends, and where the text after it begins, but for blanks.
+        self.before = np.zeros(n + 1, np.int64)
+        self.before[solid + 1] = solid + 1
+        self.before = np.maximum.accumulate(self.before)
+        self.after = np.full(n + 1, n, np.int64)
+        self.after[solid] = solid
+        self.after = np.minimum.accumulate(self.after[::-1])[::-1]
+        #: Per kind, in order: where the next piece begins, and where the piece before it stops.
+        self.kinds: list[tuple[np.ndarray, np.ndarray]] = []
+        for cut in _CUTS:
+            spans = np.fromiter((x for m in cut.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+            stop, at = self.before[place[spans[:, 0]]], place[spans[:, 1]]
+            self.kinds.append((np.append(at[at < n], n), np.append(stop[at < n], self.before[n])))
+        at = np.append(self.starts, n)
+        self.kinds.append((at, self.before[at]))
+
+    def cuts(self, limit: int, overlap: int, kinds: list[tuple[np.ndarray, np.ndarray]], whole: bool = True) -> list[tuple[int, int, int]] | None:
+        """(head, start, stop) of all pieces, cut at the given kinds of boundary; from head to start is the overlap.
+
+        None if no boundary is in reach and whole is not asked; else such a character stays whole.
+        """
+        n, out, start = len(self.raw), [], 0
+        fresh = limit - overlap
+        marks = landmarks(self.data, max(8, fresh // 2))
+        while start < n:
+            head = start
+            if start:
+                k = np.searchsorted(self.starts, start - overlap)
+                head = int(self.starts[k]) if k < len(self.starts) else start
+            begin = int(self.after[head])
+            room = begin + limit  # what is measured begins after blanks
+            if self.before[n] <= room:
+                stop = cut = n
+            else:
+                low = start + max(1, (limit - start + head) // 4)
+                k = np.searchsorted(marks, low)
+                goal = int(marks[k]) if k < len(marks) and marks[k] <= room else room
+                found = self._cut(kinds, start, low, room, goal)
+                if found is None:
+                    if not whole:
+                        return None
+                    nxt = np.searchsorted(self.starts, start, "right")  # a limit below one character
+                    cut = stop = int(self.starts[nxt]) if nxt < len(self.starts) else n
+                else:
+                    cut, stop = found
+            out.append((head, start, stop))
+            start = cut
+        return out
+
+    @staticmethod
+    def _cut(kinds: list[tuple[np.ndarray, np.ndarray]], start: int, low: int, room: int, goal: int) -> tuple[int, int] | None:
+        """The boundary nearest to goal of the first kind that has one from low to room, else of the first that has one at all."""
+        for floor in (low, start + 1):
+            for at, stop in kinds:
+                i, j = np.searchsorted(at, floor), np.searchsorted(stop, room, "right")
+                if i < j:
+                    k = np.searchsorted(at[i:j], goal) + i
+                    best = min((q for q in (k - 1, k) if i <= q < j), key=lambda q: (abs(int(at[q]) - goal), -q))
+                    return int(at[best]), int(stop[best])
         return None
-    k = np.searchsorted(sorted_at[i:j], goal) + i
-    near = [sorted_at[q] for q in (k - 1, k) if i <= q < j]
-    return int(min(near, key=lambda p: (abs(int(p) - goal), -int(p))))
-
-
-def pieces(text: str, limit: int, overlap: int) -> list[str]:
-    raw = text.encode()
-    n = len(raw)
-    if n <= limit:
-        return [text]
-    overlap = max(0, min(overlap, limit // 2))
-    data = np.frombuffer(raw, np.uint8)
-    starts = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
-    place = starts if len(starts) != n else None  # None: characters are bytes
-    kinds = []
-    for cut in _CUTS:
-        ends = np.fromiter((m.end() for m in cut.finditer(text)), np.int64)
-        ends = ends[ends < len(starts)]
-        kinds.append(ends if place is None else place[ends])
-    kinds.append(starts)
-    fresh = limit - overlap
-    marks = landmarks(data, max(8, fresh // 2))
-    out, start = [], 0
-    while start < n:
-        head = start
-        if out or start:
-            k = np.searchsorted(starts, start - overlap)
-            head = int(starts[k]) if start else 0
-        room = head + limit
-        if n <= room:
-            cut = n
-        else:
-            low = start + max(1, fresh // 4)
-            goal = marks[np.searchsorted(marks, low) :][:1]
-            goal = int(goal[0]) if len(goal) and goal[0] <= room else room
-            cut = next((c for c in (_nearest(at, low, room, goal) for at in kinds) if c is not None), None)
-            if cut is None:  # a limit below one character: the character stays whole
-                nxt = np.searchsorted(starts, start, "right")
-                cut = int(starts[nxt]) if nxt < len(starts) else n
-        piece = raw[head:cut].decode().strip(_EDGE)
-        if piece:
-            out.append(piece)
-        start = cut
-    return out or [""]
+
+    def piece(self, head: int, stop: int) -> str:
+        return self.raw[head:stop].decode().strip(_EDGE)
+
+
+def coarsest_boundary(text: Text, limit: int) -> str:
+    """The coarsest kind of boundary with which alone the cutter gets through."""
+    return next((level for level, at in zip(LEVELS[:-1], text.kinds) if text.cuts(limit, 0, [at], whole=False) is not None), "none")
+
+
+def pieces(text: str | Text, limit: int, overlap: int) -> list[str]:
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} bytes does not go with a limit of {limit}")
+    held = Text(text) if isinstance(text, str) else text
+    if len(held.raw) <= limit:
+        return [held.raw.decode()]
+    got = [held.piece(head, stop) for head, start, stop in held.cuts(limit, overlap, held.kinds) if held.after[start] < stop]
+    return got or [""]
 
 
 def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
@@ -119,8 +155,9 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for record, item, text, limit, overlap in pdf.itertuples(index=False):
-                level = coarsest_boundary(text, limit)
-                out += [(record, item, level, k, p) for k, p in enumerate(pieces(text, limit, overlap))]
+                held = Text(text)
+                level = coarsest_boundary(held, limit)
+                out += [(record, item, level, k, p) for k, p in enumerate(pieces(held, limit, overlap))]
             yield pd.DataFrame(out, columns=["record", "item_id", "boundary", "idx", "piece"])
 
     return one.mapInPandas(cut, "record string, item_id string, boundary string, idx int, piece string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import containers, distinctive, encoding, landmarks, markup, near_duplicates, neighbours, ranking, stuffing
-from .shared import table
+from .shared import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +47,27 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).select("record", "item_id", "idx", "piece")
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item above its limit: pieces within it, numbered from 0, each a part of the content, together all of it but blanks."""
+    items = landmarks.two_tables(table(spark, sf_dir, "document"), table(spark, sf_dir, "chunk"))
+    bare = lambda c: F.octet_length(F.regexp_replace(c, r"\s", ""))
+    big = items.join(F.broadcast(table(spark, sf_dir, "size_limit").select("record", "max_bytes")), "record").where(F.octet_length("content") > F.col("max_bytes"))
+    one = big.groupBy("record", "item_id").agg(F.max(F.struct(F.octet_length("content").alias("n"), "content", "max_bytes")).alias("m")).select("record", "item_id", "m.*")
+    rows = landmarks.split_oversized(items, table(spark, sf_dir, "size_limit")).join(one, ["record", "item_id"])
+    rows = rows.select("record", "item_id", "idx", "max_bytes", F.octet_length("piece").alias("size"), F.instr(F.col("content"), F.col("piece")).alias("at"), bare(F.col("content")).alias("all"), bare(F.col("piece")).alias("part"))
+    got = rows.groupBy("record", "item_id").agg((F.max("size") <= F.first("max_bytes")).alias("within"), ((F.max("idx") + 1 == F.count("idx")) & (F.countDistinct("idx") == F.count("idx"))).alias("numbered"), ((F.min("at") > 0) & (F.sum("part") >= F.first("all"))).alias("whole"))
+    return one.select("record", "item_id").join(got, ["record", "item_id"], "left")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, decoded from their ids."""
+    return encoding.decode_corpus(encoding.encode_corpus(table(spark, sf_dir, "documents")))
+
+
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.fill_containers(encoding.encode_corpus(table(spark, sf_dir, "documents"), lengths_only=True))
 
@@ -65,12 +82,23 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per text with tokens: whether its pieces make up the whole text, divided only if need be, in containers that hold no more than they can."""
+    lengths = encoding.encode_corpus(table(spark, sf_dir, "documents"), lengths_only=True)
+    placed = written(containers.fill_containers(lengths), "placed")
+    fill = placed.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    rows = placed.where("container IS NOT NULL").join(fill, "container").groupBy("doc_id")
+    got = rows.agg(F.sum("n_tokens").alias("n"), F.max("fill").alias("fill"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("part").alias("parts"))
+    whole = (F.col("n") == F.col("n_tokens")) & (F.col("fill") <= 4096) & (F.col("pieces") == F.col("parts")) & (F.col("parts") == F.ceil(F.col("n") / 4096))
+    return lengths.where("n_tokens > 0").select("doc_id", "n_tokens").join(got, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("placed"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.flagged(stuffing.stuffed_pages(table(spark, sf_dir, "documents"), lang_col="lang"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p6_pieces, p7_ids, p8_found, p8_containers, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p6_pieces, p6_checks, p7_ids, p7_texts, p8_found, p8_containers, p8_checks, p9_found)}
 
 
 P1_SQL = """
@@ -127,5 +155,14 @@ FROM x
 """
 
 
+P6_CHECKS_SQL = """
+SELECT DISTINCT record, item_id, true AS within, true AS numbered, true AS whole
+FROM (SELECT 'document' AS record, doc_id AS item_id, content FROM document UNION ALL SELECT 'chunk', chunk_id, content FROM chunk)
+JOIN size_limit USING (record) WHERE item_id IS NOT NULL AND strlen(content) > max_bytes
+"""
+P7_TEXTS_SQL = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+P8_CHECKS_SQL = "SELECT doc_id, true AS placed FROM documents WHERE text <> ''"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_checks": P6_CHECKS_SQL, "p7_texts": P7_TEXTS_SQL, "p8_checks": P8_CHECKS_SQL}

@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 
-from lodestore.llm.landmarks import boundaries, coarsest_boundary, landmarks, pieces, split_oversized
+from lodestore.llm.landmarks import LEVELS, Text, boundaries, coarsest_boundary, landmarks, pieces, split_oversized
 
 EDGE = " \t\r\n"
 
@@ -51,7 +52,34 @@ def test_overlap_repeats_the_end_of_the_piece_before():
     [("aaaa\n\nbbbb", "paragraph"), ("aaaa\n \t\nbbbb", "paragraph"), ("aaaa\nbbbb", "line"), ("aaaa bbbb", "word"), ("aaaabbbb", "none"), ("aaa\n\nbbb\nccc", "line"), ("ééé éé", "none")],
 )
 def test_boundary(text, want):
-    assert coarsest_boundary(text, 5) == want
+    assert coarsest_boundary(Text(text), 5) == want
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("limit", [12, 40, 150, 400])
+def test_the_cutter_finds_the_boundary_that_splitting_finds(seed, limit):
+    text = text_of(seed, 1500)
+    cuts = (r"\n[^\S\n]*\n\s*", r"\n\s*", r"\s+")
+    want = next((level for level, cut in zip(LEVELS, cuts) if all(len(p.strip(EDGE).encode()) <= limit for p in re.split(cut, text))), "none")
+    assert coarsest_boundary(Text(text), limit) == want
+
+
+@pytest.mark.parametrize("overlap", [0, 10, 49, 80, 95])
+def test_any_overlap_below_the_limit_is_kept(overlap):
+    text = " ".join(f"w{i}" for i in range(400))
+    held = Text(text)
+    cuts = held.cuts(100, overlap, held.kinds)
+    assert all(start - head == min(overlap, start) for head, start, _ in cuts)
+    assert all(stop - head <= 100 for head, _, stop in cuts)
+    assert all(not text[stop:start].strip() for (_, _, stop), (_, start, _) in zip(cuts, cuts[1:]))
+    assert (cuts[0][0], cuts[-1][2]) == (0, len(text))
+    assert pieces(text, 100, overlap) == [text[head:stop].strip() for head, _, stop in cuts]
+
+
+@pytest.mark.parametrize("overlap", [-1, 100, 101])
+def test_an_overlap_that_cannot_be_kept_is_an_error(overlap):
+    with pytest.raises(ValueError, match="overlap"):
+        pieces("abcde " * 100, 100, overlap)
 
 
 def test_landmarks_depend_on_nearby_bytes_only():
