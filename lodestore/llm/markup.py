@@ -1,11 +1,12 @@
 """Markup residue in text documents: HTML, Markdown, wiki and LaTeX to clean text that keeps its structure.
 
-A document is cut into blocks at blank lines, with code, formulas and scripts protected. The marks in a block tell
-its kind; a block whose signs could belong to several kinds takes that of its surroundings. The content region is
-the maximum-scoring contiguous run of tokens: words score positive, tags by weights that are log odds counted on
-labelled pages (fit_weights), found in one linear scan; so scripts, styles, preambles and page furniture at the
-edges fall away. Within the region headings, list items, code blocks and formulas are kept, everything else
-becomes plain text.
+The content region is the maximum-scoring contiguous run of tokens: words score positive, tags by weights that are
+log odds counted on labelled pages (fit_weights; labelled_pages takes them from a table), found in one linear scan. The
+elements in which it begins and ends stay whole; all that lies outside is dropped: scripts, styles, preambles, bars of links,
+menus, footers, infoboxes, categories. The region is cut into blocks at blank lines, with code, formulas and scripts
+protected. The marks in a block tell its kind; a block whose signs could belong to several kinds takes that of its
+surroundings. Headings, list items, code blocks and formulas are kept, everything else becomes plain text. The kinds
+of marks are those of the whole document.
 
 Defined results
 * Null, empty and blank texts give empty clean text, no kinds and no elements.
@@ -62,6 +63,10 @@ class _Piece:
         self.what, self.kind, self.body = what, kind, body
 
 
+#: Characters that stand for pieces taken out are none of a text's own.
+_BLANKED = {c: " " for c in range(1, 7)}
+
+
 def _protect(text: str) -> tuple[str, list[_Piece]]:
     pieces: list[_Piece] = []
 
@@ -81,7 +86,7 @@ def _protect(text: str) -> tuple[str, list[_Piece]]:
         pieces.append(p)
         return f"\x01{len(pieces) - 1}\x02"
 
-    return _PROTECTED.sub(take, text.replace("\x01", " ").replace("\x02", " ")), pieces
+    return _PROTECTED.sub(take, text.translate(_BLANKED)), pieces
 
 
 def _proof(block: str, pieces: list[_Piece]) -> tuple[set[str], set[str]]:
@@ -135,7 +140,7 @@ def _kinds(blocks: list[str], pieces: list[_Piece]) -> list[str | None]:
 
 # ---- the content region -------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"^[ ]{0,3}(?P<head>#{1,6}[ \t]|={1,6})|^[ \t]*(?P<item>[*+-][ \t]|\d{1,9}[.)][ \t]|[*#]+)|\x01(?P<piece>\d+)\x02|</?(?P<tag>[A-Za-z][A-Za-z0-9]*)\b[^<>]*>|(?P<comment><!--.*?(?:-->|\Z))|\\(?P<command>[a-zA-Z]+)|(?P<wiki>\{\{|\}\}|\[\[|\]\]|__[A-Z]+__)|(?P<word>\w+)", re.S | re.M)
+_TOKEN = re.compile(r"^[ ]{0,3}(?P<head>#{1,6}[ \t]|={1,6})|^[ \t]*(?P<item>[*+-][ \t]|\d{1,9}[.)][ \t]|[*#]+)|\x01(?P<piece>\d+)\x02|</?(?P<tag>[A-Za-z][A-Za-z0-9]*)\b[^<>]*>|(?P<comment><!--.*?(?:-->|\Z))|\\(?P<command>(?:begin|end)\s*\{[\w*]+\}|[a-zA-Z]+)|(?P<wiki>\{\{|\}\}|\[\[|\]\]|__[A-Z]+__)|(?P<word>\w+)", re.S | re.M)
 _TEX_HEADING = re.compile(r"chapter|part|(?:sub){0,2}section|(?:sub)?paragraph")
 #: Pages with their content marked, for the weights: (is content, text).
 LABELLED: tuple[tuple[tuple[bool, str], ...], ...] = (
@@ -147,14 +152,23 @@ LABELLED: tuple[tuple[tuple[bool, str], ...], ...] = (
     ((False, "<style>b{}</style><script>a()</script>"), (True, "<h4>Reading <a href=1>room</a></h4>\n<div><p>Every <span>room</span> has a meter.<!-- n --> Ask the <a href=2>desk</a> for a key.<br></p></div><h2><a href=3>Keys</a></h2><ol><li>One <em>key</em></li><li>Two <code>keys</code></li></ol><p>Bring them <strong>back</strong> by noon.</p>"), (False, "<nav><a href=4>Next</a></nav>")),
     ((False, "__NOTOC__\n"), (True, "=== Keys ===\nAsk the [[desk]] for [[key (tool)|a key]] of the ''room''.{{source|a}}\n# [[open]] it\n# close [http://x the door]\n== Rooms ==\nEvery [[room]] has {{two}} meters.<ref>n</ref> They are read in May."), (False, "{{navigation | a = 1 | b = 2}} [[Category:Keys]]")),
     ((True, "\\subsection{\\texttt{Keys} and rooms} Ask the \\href{http://x}{desk} for \\textbf{a key}. \\paragraph{Rooms} They are \\underline{open} \\textit{today} \\footnote{See b.} \\label{r}."), (False, "\\bibliography{refs} \\end{document}")),
+    ((True, "<details><summary>How to oil it</summary><p>Lift the <var>lid</var> and wait for the <samp>ready</samp> sign.</p></details><figure><figcaption>The lid from above</figcaption></figure><table><caption>Oils by season</caption><thead><tr><th>season</th><th>oil</th></tr></thead><tbody><tr><td>winter</td><td>thin oil</td></tr></tbody></table><video><source src=a>A film of the pump</video><blockquote>It runs for years.</blockquote><dl><dt>lid</dt><dd>the upper part</dd></dl><svg><path d=M0></path><text>scale</text></svg><label>Size <select><option>small</option></select></label><noscript>A list of sizes</noscript>"), (False, "<form><input name=a><button>Send</button></form>")),
     ((True, "# Use\n\nThe pump was **checked** and the [log](x) was closed by the team in the evening.\n\n- open\n- close\n\n```\nrun\n```\n"), (False, "[![badge](a)](b) <img src=c> <br> <sub></sub>")),
 )
 
 
 def _classes(text: str, pieces: list[_Piece]) -> list[tuple[int, int, str]]:
     out = []
+    depth = 0  # of templates: a template is one, however many it holds
     for m in _TOKEN.finditer(text):
         kind = m.lastgroup
+        if kind == "wiki" and m["wiki"] in ("{{", "}}"):
+            opens = m["wiki"] == "{{"
+            depth += opens
+            if depth == 1:
+                out.append((m.start(), m.end(), "wiki:template"))
+            depth -= depth > 0 and not opens
+            continue
         if kind == "piece":
             name = "kept" if pieces[int(m["piece"])].what != "drop" else "script"
         elif kind == "tag":
@@ -163,7 +177,7 @@ def _classes(text: str, pieces: list[_Piece]) -> list[tuple[int, int, str]]:
         elif kind == "command":
             name = "command:h" if _TEX_HEADING.fullmatch(m["command"]) else f"command:{m['command']}"
         elif kind == "wiki":
-            name = {"{": "wiki:template", "}": "wiki:template", "[": "wiki:link", "]": "wiki:link"}.get(m["wiki"][0], "wiki:word")
+            name = "wiki:word" if m["wiki"][0] == "_" else "wiki:link"
         else:
             name = kind or "word"
         out.append((m.start(), m.end(), name))
@@ -180,9 +194,10 @@ def fit_weights(pages=LABELLED, smooth: float = 1.0) -> dict[str, float]:
     n, m = sum(inside.values()) + smooth, sum(outside.values()) + smooth
     names = set(inside) | set(outside)
     weights = {c: math.log((inside[c] + smooth) / n) - math.log((outside[c] + smooth) / m) for c in names}
+    weights = {c: w if c in ("word", "kept", "head", "item", "tag:h", "command:h") else min(w, 0.0) for c, w in weights.items()}  # of tags only headings are content in themselves
     weights["word"] = max(weights.get("word", 1.0), 0.1)
     weights["kept"] = max(weights.get("kept", 1.0), weights["word"])
-    weights["tag"] = min(-0.1, sum(w for c, w in weights.items() if c.startswith("tag:")) / max(1, sum(c.startswith("tag:") for c in weights)))
+    weights["tag"] = min(-0.1, math.log(m / n))  # of a tag that no page shows
     weights["command"] = -0.1
     return weights
 
@@ -190,6 +205,18 @@ def fit_weights(pages=LABELLED, smooth: float = 1.0) -> dict[str, float]:
 _WEIGHTS = fit_weights()
 
 
+def labelled_pages(parts: DataFrame, most: int = 10_000) -> list[list[tuple[bool, str]]]:
+    """Pages for fit_weights from a table parts(page, part, content, text): a page's parts in order, content true or false.
+
+    A bounded sample: the `most` pages whose ids have the smallest hashes. Null texts and null marks are left out.
+    """
+    rows = parts.where(F.col("content").isNotNull() & F.col("text").isNotNull() & F.col("page").isNotNull())
+    chosen = rows.select("page").distinct().orderBy(F.xxhash64("page"), "page").limit(most)
+    one = F.sort_array(F.collect_list(F.struct("part", "content", "text"))).alias("parts")
+    got = rows.join(chosen, "page").groupBy("page").agg(one).orderBy("page").collect()
+    return [[(p["content"], p["text"]) for p in r["parts"]] for r in got]
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """[lo, hi) of the contiguous run with the greatest sum, the longest of equals; (0, 0) if no sum is positive."""
     best, lo, hi = 0.0, 0, 0
@@ -208,7 +235,41 @@ def content_region(body: str, pieces: list[_Piece], weights: dict[str, float]) -
     tokens = _classes(body, pieces)
     weight = lambda c: weights.get(c, weights["tag"] if c.startswith("tag:") else weights["command"] if c.startswith("command:") else 0.0)
     lo, hi = best_region([weight(c) for _, _, c in tokens])
-    return (tokens[lo][0], tokens[hi - 1][1]) if hi else (0, len(body))
+    return _whole_elements(body, tokens[lo][0], tokens[hi - 1][1]) if hi else (0, len(body))
+
+
+#: Where an element of a page begins or ends: lines, HTML blocks, LaTeX sections, items and environments.
+_EDGE = re.compile(r"(?P<after>\n|</(?:p|div|h[1-6]|li|[uo]l|table|tr|nav|footer|header|aside|form|section|article|main|blockquote|dl|head|body|html)\s*>|<(?:br|hr)\b[^<>]*>|\}\}(?!\}))|(?P<before><(?:p|div|h[1-6]|li|[uo]l|table|tr|nav|footer|header|aside|form|section|article|main|blockquote|dl|head|body)\b[^<>]*>|\{\{|\[\[(?:Category|File|Image):|\\(?:chapter|part|(?:sub){0,2}section|(?:sub)?paragraph|item|begin|end|bibliography\w*)\b)", re.I)
+
+
+_ELEMENT = re.compile(r"<(h[1-6]|li|p)\b[^<>]*>(?:(?!<(?:h[1-6]|li|p|[uo]l|div)\b|\n[ \t]*\n).)*?</\1\s*>", re.I | re.S)
+
+
+_TITLE = re.compile(r"<h([1-6])\b[^<>]*>(?:(?!<h[1-6]\b).)*?</h\1\s*>|^(={1,6})[^=\n][^\n]*\2[ \t]*$|^[ ]{0,3}#{1,6}[ \t][^\n]*$", re.I | re.S | re.M)
+
+
+def _whole_elements(body: str, lo: int, hi: int) -> tuple[int, int]:
+    """The region with the elements whole in which it begins and ends, and with the heading right before it; an underlined heading keeps its line."""
+    start, stop = 0, len(body)
+    for m in _EDGE.finditer(body):
+        at = m.end() if m.lastgroup == "after" else m.start()
+        if at <= lo:
+            start = at
+        elif at >= hi:
+            stop = at
+            break
+    for m in _ELEMENT.finditer(body):  # a line may end within these
+        if m.start() < start < m.end():
+            start = m.start()
+        if m.start() < stop < m.end():
+            stop = m.end()
+        if m.start() >= stop:
+            break
+    titles = [m.span() for m in _TITLE.finditer(body, 0, start)]
+    if titles and not re.search(r"\w", _ANY_TAG.sub("", _without_templates(body[titles[-1][1] : start]))):
+        start = titles[-1][0]  # the heading of what follows
+    under = re.compile(r"\n?[ ]{0,3}(?:={2,}|-{2,})[ \t]*(?=\n|\Z)").match(body, stop)
+    return start, under.end() if under else stop
 
 
 # ---- inline marks -------------------------------------------------------------------------------------------------
@@ -376,10 +437,9 @@ class _Keep:
         return f"\x05{len(self.shown) - 1}\x06"
 
     def restore(self, t: str) -> str:
-        for _ in range(4):
+        n = 1
+        while n:  # what is shown holds only what was shown before it
             t, n = re.subn("\x05(\\d+)\x06", lambda m: self.shown[int(m[1])], t)
-            if not n:
-                break
         return t
 
 
@@ -466,9 +526,8 @@ def clean(text: str | None, weights: dict[str, float] | None = None) -> tuple[st
             j += 1
         if kinds[k] and any(_marked(b, kinds[k], pieces) for b in blocks[k:j]) and kinds[k] not in seen:
             seen.append(kinds[k])
-        inside = [i for i in range(k, j) if spans[i][1] > lo and spans[i][0] < hi]
-        if inside:
-            part = body[spans[inside[0]][0] : spans[inside[-1]][1]]
+        part = body[max(lo, spans[k][0]) : min(hi, spans[j - 1][1])]
+        if part.strip():
             if kinds[k]:
                 shown_part, found = _segment(part, kinds[k], pieces)
                 elements += [(kinds[k], e, c) for e, c in found]

@@ -1,6 +1,6 @@
 import pytest
 
-from lodestore.llm.markup import best_region, clean, clean_documents, fit_weights, found_elements
+from lodestore.llm.markup import best_region, clean, clean_documents, fit_weights, found_elements, labelled_pages
 
 
 def found(text):
@@ -89,3 +89,47 @@ def test_templates_nest_to_any_depth():
     assert "{" not in out
     assert "The pump was checked in May. It ran well for ten days." in out
     assert len(clean("== Use ==\nThe pump ran. " + "{{" * 100_000 + "}}" * 100_000)[0]) < 100
+
+
+@pytest.mark.parametrize("text", ["\x05 9 \x06", "\x0599\x06 # H", "# A \x0312\x04 b\x05\x06", "\x017\x02 <b>x</b>", "<p>\x05 3 \x06\x03 4 \x04</p>", "".join(map(chr, range(1, 9))) * 3])
+def test_marker_characters_in_a_text_are_blanks(text):
+    out, _, elements = clean(text)
+    assert not set(out) & set(map(chr, range(1, 7)))
+    assert all(not set(c) & set(map(chr, range(1, 7))) for _, _, c in elements)
+
+
+MENU = "<nav><ul>" + "".join(f'<li><a href="/{i}">{w}</a></li>' for i, w in enumerate("Home Shop Cart Login Help Terms".split())) + "</ul></nav>"
+FOOT = "<footer><ul><li><a href=4>Imprint</a></li><li><a href=5>Privacy</a></li></ul></footer>"
+BODY = "<h1>Pump room</h1><p>The pump was checked in May and ran <b>well</b> for ten days.</p><ul><li>Open the valve</li><li>Note the <a href=9>time</a></li></ul><p>Nobody saw a leak.</p>"
+
+
+def test_the_region_decides_which_elements_come_out():
+    """Menus, footers and link bars go with the region, and come back when words and tags score alike."""
+    content = [("html", "heading", "Pump room"), ("html", "list_item", "Open the valve"), ("html", "list_item", "Note the time")]
+    assert clean(MENU + BODY + FOOT)[2] == content
+    assert clean(f"{MENU}\n{BODY}\n\n{FOOT}")[2] == content
+    assert clean(BODY)[2] == content
+    flat = {"word": 1.0, "tag": 0.0, "command": 0.0}
+    assert len(clean(MENU + BODY + FOOT, flat)[2]) == len(content) + 8
+    bar = "<div><a href=a>One</a> | <a href=b>Two</a> | <a href=c>Three</a> | <a href=c>Four</a></div>"
+    assert "Two" not in clean(bar + BODY)[0]
+    wiki = "{{Infobox\n| name = pump\n| size = 3\n}}\n== Use ==\nThe '''pump''' moves [[water|cold water]] into the tank. It was built in March.\n* first step\n\n[[Category:Pumps]]\n[[Category:Tanks]]\n__NOTOC__"
+    assert clean(wiki)[2] == [("wiki", "heading", "Use"), ("wiki", "list_item", "first step")]
+
+
+def test_weights_from_a_labelled_table(spark):
+    rows = [(p, i, c, t) for p in range(30) for i, (c, t) in enumerate([(False, MENU), (True, BODY), (False, FOOT)])] + [(99, 0, None, "x"), (98, 0, True, None), (None, 0, True, "x")]
+    table = spark.createDataFrame(rows, "page int, part int, content boolean, text string")
+    pages = labelled_pages(table, most=20)
+    assert len(pages) == 20
+    assert pages[0] == [(False, MENU), (True, BODY), (False, FOOT)]
+    assert pages == labelled_pages(table.repartition(3), most=20)
+    weights = fit_weights(pages)
+    assert weights["tag:a"] < 0 < weights["word"]
+    assert clean(MENU + BODY, weights)[2][0] == ("html", "heading", "Pump room")
+    assert labelled_pages(table.limit(0)) == []
+
+
+def test_what_is_kept_nests_to_any_depth():
+    text = "# A\n\n" + "> " * 12 + "- x `a` and `b` of $c$\n\nThe pump was checked in May."
+    assert "\x05" not in clean(text)[0]
