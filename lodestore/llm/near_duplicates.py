@@ -9,13 +9,15 @@ Defined results
 * Null and blank contents, and contents of fewer words than a shingle, never match anything.
 * Rows repeated under one id count once; if their contents differ, the one with the smallest class key counts.
 * Pairs have the smaller id first, in plain string order; a record is never paired with itself.
-* Only pairs of the same record kind are formed. Empty tables give an empty result. Other columns are not read.
-* Texts are taken whole. With 48 bands of 4, a pair at similarity 0.6 becomes a candidate with probability 0.9987,
-  at 0.7 with 0.999998.
-
-Scale: a band bucket of up to `SMALL` classes is compared by its pairs; a larger one is cut into blocks that are
-compared block against block, each in a task of bounded size, and only pairs that pass the estimate come out.
-Copies of one text send their band keys once per task. Nothing is capped.
+* Only pairs of the same record kind are formed; rows without a kind are left out. Empty tables give an empty result.
+  Other columns are not read.
+* Texts are taken whole. With 64 bands of 4, a pair at similarity 0.6 becomes a candidate with probability 0.99986,
+  at 0.7 with 0.99999997. That is the chance of the method, no cap.
+
+Scale: a band bucket of up to `SMALL` classes is compared by its pairs. A larger one is cut by the number of shingles
+(sets whose sizes differ too much cannot be alike) and by hash into blocks that are compared block against block, each
+in a task of bounded size, and only pairs that pass the estimate come out. Band keys that are frequent in any part of
+the input are told first and never gathered in one task. Copies of one text send their band keys once per task.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .shared import words, written
 
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK = 32, 2048
+#: A band key that this many classes share within a million keys of one task is frequent.
+FREQUENT = 256
 _U = np.uint64
 
 
@@ -129,7 +133,7 @@ def fingerprints(records: DataFrame, shingle: int, bands: int, rows: int) -> Dat
                 h = cut(text)
                 if not len(h):
                     continue
-                node = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8, salt=record.encode()[:16]).digest(), "little", signed=True)
+                node = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8, salt=hashlib.blake2b(record.encode(), digest_size=16).digest()).digest(), "little", signed=True)
                 if node in sent:
                     sig, band = sent[node], None
                 else:
@@ -147,19 +151,16 @@ def fingerprints(records: DataFrame, shingle: int, bands: int, rows: int) -> Dat
 
 
 def _runs(batches):
-    """From rows (key, node) in order: pairs of small buckets (a, b), members of large ones (key, at, a)."""
+    """From rows (key, node) in order: pairs of small buckets (a, b), members of large ones (key, a)."""
     pend_k, pend_n, flushed = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    names = ["a", "b", "key", "at"]
 
-    def emit(a, b=None, key=None, at=None):
-        none = lambda t: pa.nulls(len(a), t)
-        return pa.record_batch([pa.array(a, pa.int64()), none(pa.int64()) if b is None else pa.array(b, pa.int64()), none(pa.int64()) if key is None else pa.array(key, pa.int64()), none(pa.int32()) if at is None else pa.array(at, pa.int32())], names=names)
+    def emit(a, b=None, key=None):
+        return pa.record_batch([pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (a, b, key)], names=["a", "b", "key"])
 
     def hot(k, n):
         nonlocal flushed
-        got = emit(n, key=k, at=((flushed + np.arange(len(n))) // BLOCK).astype(np.int32))
         flushed += len(n)
-        return got
+        return emit(n, key=k)
 
     def pairs(n, starts, sizes):
         a, b = [], []
@@ -205,46 +206,95 @@ def _runs(batches):
             yield got
 
 
-def _large_buckets(members: DataFrame, sigs: DataFrame, lanes: int, least: float) -> DataFrame:
-    """Pairs (a, b) of buckets above SMALL, block against block, that pass the estimate."""
-    last = members.groupBy("key").agg(F.max("at").alias("last"))
-    grid = members.join(last, "key").join(sigs.withColumnRenamed("node", "a"), "a")
-    here = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    grid = grid.select("key", "at", "a", "sig", here).select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "a", "sig")
+def frequent_keys(prints: DataFrame) -> DataFrame:
+    """(key): band keys that FREQUENT classes share within some window of a task; a narrow pass, at most one key in FREQUENT comes out."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def close():
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(key[count >= FREQUENT], pa.int64())], names=["key"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            size += len(held[-1])
+            if size >= 1_000_000:
+                yield close()
+                held, size = [], 0
+        if held:
+            yield close()
+
+    return prints.select("bands").where(F.col("bands").isNotNull()).mapInArrow(run, "key bigint").distinct()
+
+
+def _compare(x: np.ndarray, y: np.ndarray, lanes: int, least: float, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and y whose estimate is least or more, a tile at a time."""
+    out = []
+    for lo in range(0, len(x), at_once):
+        for hi in range(0, len(y), at_once):
+            d = x[lo : lo + at_once, None, :] ^ y[None, hi : hi + at_once, :]
+            off = np.bitwise_count((d | (d >> _U(1))) & _U(0x5555555555555555)).sum(2, dtype=np.int64)
+            i, j = np.nonzero((0.75 - off / lanes) / 0.75 >= least)
+            out.append((i + lo, j + hi))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _large_buckets(members: DataFrame, sigs: DataFrame, lanes: int, threshold: float, least: float) -> DataFrame:
+    """Pairs (a, b) of members(key, node) of buckets above SMALL that pass the estimate.
+
+    A bucket is a grid: `size` parts it so that sets of parts further apart than one cannot reach the threshold, and
+    blocks of about BLOCK part each size. Only sizes that are equal or next to each other meet, each pair of blocks in one task.
+    """
+    step = -np.log(threshold) * (1 + 1e-9)
+    rows = members.distinct().join(sigs, "node").withColumn("size", F.floor(F.log("n") / F.lit(float(step))).cast("int"))
+    counts = rows.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    plan = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("plan"))  # few sizes per key
+    rows = rows.join(plan, "key").withColumn("at", F.pmod(F.xxhash64("node"), F.element_at("plan", F.col("size"))).cast("int"))
+    upto = lambda size: F.when(F.map_contains_key("plan", size), F.sequence(F.lit(0), F.element_at("plan", size) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
+    size, at = F.col("size"), F.col("at")
+    same = F.transform(upto(size), lambda o: cell(size, size, F.least(at, o), F.greatest(at, o), (at > o).cast("int")))
+    above = F.transform(upto(size + 1), lambda o: cell(size, size + 1, at, o, F.lit(0)))
+    below = F.transform(upto(size - 1), lambda o: cell(size - 1, size, o, at, F.lit(1)))
+    grid = rows.select("key", "node", "sig", F.explode(F.concat(same, above, below)).alias("c")).select("key", "node", "sig", "c.*")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["at"] == key[1]], pdf[pdf["at"] == key[2]]
-        x = np.stack(left["sig"]).astype(np.int64).view(np.uint64)
-        y = np.stack(right["sig"]).astype(np.int64).view(np.uint64) if len(right) else x[:0]
-        d = x[:, None, :] ^ y[None, :, :]
-        off = np.bitwise_count((d | (d >> _U(1))) & _U(0x5555555555555555)).sum(2, dtype=np.int64)
-        est = (0.75 - off / lanes) / 0.75
-        i, j = np.nonzero(est >= least)
-        a, b = left["a"].to_numpy()[i], right["a"].to_numpy()[j]
-        keep = a != b
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if key[1] == key[2] and key[3] == key[4]:
+            right = left
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        x, y = (np.stack(s["sig"]).astype(np.int64).view(np.uint64) for s in (left, right))
+        i, j = _compare(x, y, lanes, least)
+        a, b = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
+        keep = a < b if right is left else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
 
-    return grid.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return grid.groupBy("key", "low", "high", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def similar_classes(records: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 48, rows: int = 4, slack: float = 0.17) -> tuple[DataFrame, DataFrame]:
+def similar_classes(records: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 64, rows: int = 4, slack: float = 0.17) -> tuple[DataFrame, DataFrame]:
     """(pairs(a, b, jaccard), members(record, id, node)): links between classes, and who is in which class.
 
-    slack: how far below the threshold the estimate may be for the exact check to be made; 0.17 is more than four
-    standard deviations of the estimate from 192 two-bit lanes.
+    slack: how far below the threshold the estimate may be for the exact check to be made; 0.17 is 4.4 standard
+    deviations of the estimate from 256 two-bit lanes at a similarity of 0.6, 5.3 at 0.8.
     """
     lanes = bands * rows
-    records = records.where(F.col("id").isNotNull())
+    records = records.where(F.col("id").isNotNull() & F.col("record").isNotNull())
     prints = written(fingerprints(records, shingle, bands, rows), "prints")
     members = prints.groupBy("record", "id").agg(F.min("node").alias("node"))
     sigs = prints.where(F.col("bands").isNotNull()).select("node", "sig", "n").dropDuplicates(["node"])
 
     keyed = prints.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
-    ordered = keyed.select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", "node")
-    found = written(ordered.mapInArrow(_runs, "a bigint, b bigint, key bigint, at int"), "candidates")
+    marks = frequent_keys(prints).withColumn("frequent", F.lit(True))
+    keyed = keyed.join(marks, "key", "left")
+    often = keyed.where("frequent").select("key", "node")
+    ordered = keyed.where("frequent IS NULL").select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", "node")
+    found = written(ordered.mapInArrow(_runs, "a bigint, b bigint, key bigint"), "candidates")
     small = found.where(F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     least = threshold - slack
-    large = _large_buckets(found.where(F.col("key").isNotNull()).select("key", "at", "a"), sigs.select("node", "sig"), lanes, least)
+    large = _large_buckets(found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node")).unionByName(often), sigs, lanes, threshold, least)
     pairs = small.unionByName(large).distinct()
 
     side = lambda s: sigs.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
@@ -270,6 +320,12 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, shingle: int = 5
     return exact, members
 
 
+def linked_records(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(record, id, node, links): each record with its class and the number of other classes that its class is linked to."""
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(ends, "node", "left").select("record", "id", "node", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def near_duplicate_pairs(records: DataFrame, threshold: float = 0.8, shingle: int = 5, **how) -> DataFrame:
     """(record, id_a, id_b) for all pairs of ids, copies included: as many rows as there are such pairs."""
     links, members = similar_classes(records, threshold, shingle, **how)

@@ -29,6 +29,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(records, threshold=0.6, shingle=3)
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and chunks with five-word sequences: the class of equal ones, and how many other classes it is linked to at 0.8."""
+    records = near_duplicates.two_tables(table(spark, sf_dir, "document"), table(spark, sf_dir, "chunk"))
+    return near_duplicates.linked_records(*near_duplicates.similar_classes(records))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first_of_each(ranking.one_ranking(table(spark, sf_dir, "hit")))
 
@@ -98,7 +104,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p6_pieces, p6_checks, p7_ids, p7_texts, p8_found, p8_containers, p8_checks, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_links, p5_found, p6_found, p6_pieces, p6_checks, p7_ids, p7_texts, p8_found, p8_containers, p8_checks, p9_found)}
 
 
 P1_SQL = """

@@ -103,3 +103,37 @@ def test_jvm_estimate_equals_numpy(spark):
     d = x.view(np.uint64) ^ y.view(np.uint64)
     off = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
     assert np.allclose(got, (0.75 - off / 192) / 0.75)
+
+
+@pytest.mark.parametrize("frequent", [4, 10**6])
+def test_hot_band_keys_of_many_sizes(spark, monkeypatch, frequent):
+    """Texts that grow out of one another share band keys over many sizes; told as frequent or not, no link is lost."""
+    monkeypatch.setattr(nd, "FREQUENT", frequent)
+    monkeypatch.setattr(nd, "SMALL", 4)
+    monkeypatch.setattr(nd, "BLOCK", 7)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(90):
+        edit = base[: 150 + 2 * i]
+        edit[rng.randrange(len(edit))] = f"e{i}"
+        rows.append(("chunk", f"k{i:04d}", " ".join(edit), 1, "s"))
+    got = {tuple(r) for r in nd.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA).repartition(2), 0.6, 3).collect()}
+    assert got == brute(rows, 0.6, 3)
+    assert len(got) > 1000
+
+
+def test_kinds_with_a_common_beginning_stay_apart(spark):
+    text = "one two three four five six seven"
+    rows = [("a kind of records, the first", "x", text, 1, "s"), ("a kind of records, the second", "y", text, 1, "s"), (None, "z", text, 1, "s"), ("a kind of records, the first", "w", text, 1, "s")]
+    got = [tuple(r) for r in nd.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA), 0.8, 5).collect()]
+    assert got == [("a kind of records, the first", "w", "x")]
+
+
+def test_links_of_records(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("chunk", "a", text, 1, "s"), ("chunk", "b", text, 1, "s"), ("chunk", "c", text + " end", 1, "s"), ("chunk", "d", "nothing of the kind is in here at all", 1, "s")]
+    got = {r.id: (r.node, r.links) for r in nd.linked_records(*nd.similar_classes(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got["a"] == got["b"]
+    assert got["a"][0] != got["c"][0]
+    assert [got[k][1] for k in "abcd"] == [1, 1, 1, 0]
