@@ -30,3 +30,4 @@ NotDeletable = _kind("NotDeletable", "a store cannot delete by source")
 MaxSteps = _kind("MaxSteps", "workflow exceeded its step limit")
 UnknownStep = _kind("UnknownStep", "workflow has no such step")
 Cancelled = _kind("Cancelled", "the call was cancelled")
+Conflict = _kind("Conflict", "another writer published first")

@@ -56,11 +56,26 @@ def extension(source: Column) -> Column:
     return F.lower(F.regexp_extract(source, r"(\.[^./\\]*)\z", 1))
 
 
+def without_thoughts(reply: Column) -> Column:
+    """A model's reply without what stands between think tags; an unclosed tag stays as it is."""
+    parts = F.split(reply, "(?i)<think>")
+    end = lambda part: F.instr(F.lower(part), F.lit("</think>"))
+    told = lambda part: F.when(end(part) > 0, F.substr(part, end(part) + len("</think>"))).otherwise(F.concat(F.lit("<think>"), part))
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(told(part))), "")
+
+
+def without_mark(line: Column) -> Column:
+    """A line without its bullet or number: a first word that is no more than that goes."""
+    words = F.split(trim(line), r"\s+", 2)
+    first = words[0]
+    mark = first.isin("-", "*", "•") | first.rlike("^[0-9]+[.)]$")
+    return F.when((F.size(words) == 2) & mark, words[1]).otherwise(trim(line))
+
+
 def cleaned_lines(reply: Column, most: int, exclude: Column) -> Column:
     """Up to `most` distinct lines of a model's reply, without reasoning, list marks, quotes, preambles and `exclude`."""
-    said = F.regexp_replace(reply, r"(?is)<think>.*?</think>", "")
-    one = lambda x: trim(F.regexp_replace(trim(F.regexp_replace(trim(x), r"^(?:\d+[.)]|[-*•])\s+", "")), r"^[\"'`“”*]+|[\"'`“”*]+\z", ""))
-    found = F.filter(F.transform(F.split(said, "\n"), one), lambda x: (x != "") & ~x.endswith(":") & (normalise(x) != normalise(exclude)))
+    one = lambda x: trim(F.btrim(trim(without_mark(x)), F.lit("\"'`“”*")))
+    found = F.filter(F.transform(F.split(without_thoughts(reply), "\n"), one), lambda x: (x != "") & ~x.endswith(":") & (normalise(x) != normalise(exclude)))
     keys = F.transform(found, normalise)
     fresh = F.filter(found, lambda x, i: F.array_position(keys, normalise(x)) == i + 1)
     return F.slice(fresh, 1, most)

@@ -103,15 +103,18 @@ def overlap(candidates: DataFrame, n: int) -> DataFrame:
     return top_k(scored, ["query_id"], n)
 
 
-def cross_encode(candidates: DataFrame, scorer: Scorer, n: int, text: str = "content") -> DataFrame:
-    """Reranks with an injected scorer: one call per query over its candidates, stable order, cut to n."""
+def cross_encode(candidates: DataFrame, scorer: Scorer, n: int, text: str | None = None) -> DataFrame:
+    """Reranks with an injected scorer that reads the index text where there is one, else the content: one call per query over its candidates, stable order, cut to n."""
+
+    text = text or ("index_text" if "index_text" in candidates.columns else "content")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
         got = scorer.score(pdf["question"].iloc[0], list(pdf[text]))
         if len(got) != len(pdf):
             raise ValueError("number of results differs from number of inputs")
-        pdf = pdf.astype({"query_id": object, "chunk_id": object}).assign(score=np.asarray(got, np.float64)).sort_values("score", ascending=False, kind="stable").head(n)
+        pdf = pdf.astype({"query_id": object, "chunk_id": object}).assign(score=np.asarray(got, np.float64)).sort_values("score", ascending=False, kind="stable")
+        pdf = pdf[pdf["score"] > -np.inf].head(n)  # what a server leaves out is no hit
         return pdf.assign(rank=np.arange(1, len(pdf) + 1, dtype=np.int32))[["query_id", "chunk_id", "score", "rank"]]
 
     return candidates.groupBy("query_id").applyInPandas(run, "query_id string, chunk_id string, score double, rank int")

@@ -7,6 +7,8 @@ there was, and the error is recorded.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,6 +49,7 @@ def current(row_question: str = "question") -> Column:
 
 def _ask(rows: DataFrame, prompt: Column, completer: Completer, wanted: Column) -> DataFrame:
     """Adds reply (null if not asked or failed) and the error. One Arrow batch at a time, no call without need."""
+    completer = timed(completer, _LIMIT.get())
 
     @F.pandas_udf("struct<reply:string,error:string>")
     def call(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -67,6 +70,48 @@ def _ask(rows: DataFrame, prompt: Column, completer: Completer, wanted: Column)
     return asked.withColumn("rewrite_error", F.coalesce("rewrite_error", F.col("_r.error"))).withColumn("_reply", F.col("_r.reply")).drop("_r")
 
 
+_LIMIT: contextvars.ContextVar[float] = contextvars.ContextVar("limit", default=0.0)
+
+
+@contextlib.contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """Model calls of rewriters that are applied within take at most so long each; a late one counts as an error of its row."""
+    token = _LIMIT.set(seconds)
+    try:
+        yield
+    finally:
+        _LIMIT.reset(token)
+
+
+def timed(completer: Completer, seconds: float) -> Completer:
+    """A completer that gives up after `seconds` (none if not positive); the call that hangs is left behind."""
+    if seconds <= 0:
+        return completer
+
+    def ask(prefix: str, text: str) -> str:
+        import queue
+        import threading
+
+        got: queue.SimpleQueue = queue.SimpleQueue()
+
+        def work() -> None:
+            try:
+                got.put((completer(prefix, text), None))
+            except Exception as error:  # noqa: BLE001 - raised again by the caller
+                got.put((None, error))
+
+        threading.Thread(target=work, daemon=True).start()
+        try:
+            reply, error = got.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no reply within {seconds} s") from None
+        if error is not None:
+            raise error
+        return reply
+
+    return ask
+
+
 def _add(rows: DataFrame, texts: Column, target: str) -> DataFrame:
     more = F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(target).alias("target")))
     return rows.withColumn("searches", F.concat("searches", F.coalesce(more, _none()))).drop("_reply")
@@ -117,7 +162,7 @@ def hyde(completer: Completer) -> Rewriter:
     def run(questions: DataFrame) -> DataFrame:
         prompt = F.concat(F.lit("Write a short passage that would answer the question, as it might stand in a document. Output only the passage.\n\nQuestion: "), current())
         asked = _ask(prepared(questions), prompt, completer, F.lit(True))
-        passage = tx.truncate_bytes(tx.trim(F.regexp_replace(F.col("_reply"), r"(?is)<think>.*?</think>", "")), PASSAGE_BYTES)
+        passage = tx.truncate_bytes(tx.trim(tx.without_thoughts(F.col("_reply"))), PASSAGE_BYTES)
         return _add(asked, F.when(F.coalesce(passage, F.lit("")) != "", F.array(passage)), "dense")
 
     return run

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Cancelled, EmptyQuery, EmptySource, MissingChunker, MissingEmbedder, MissingGenerator, MissingStore, NoChunks, NoResults
+from ..functions import text as tx
 from ..functions.identity import section_id
 from ..operators import fusion as fuse
 from ..operators import prompt as pr
@@ -39,7 +40,7 @@ class Answer:
 
 @dataclass
 class Engine:
-    """Numbers that are not positive stand for their defaults, as in every option here."""
+    """Numbers that are not positive stand for their defaults, as in every option here; transform_timeout (seconds per model call) then means no limit."""
 
     store: Store
     embedder: Embedder | None = None
@@ -64,6 +65,7 @@ class Engine:
     embed_workers: int = 8
     max_tokens: int = 4096
     system: str = ""
+    transform_timeout: float = 0.0
     k1: float = 1.5
     b: float = 0.75
     tracer: Tracer | None = None
@@ -131,7 +133,8 @@ class Engine:
         """Questions with their rewrites, and the numbered searches."""
         rows = rw.prepared(questions)
         if self.rewriter is not None:
-            rows = self.rewriter(rows)
+            with rw.time_limit(self.transform_timeout):
+                rows = self.rewriter(rows)
         return rows, rw.search_rows(rows)
 
     def hits(self, searches: DataFrame, where: dict | None = None, recall: int = 0) -> DataFrame:
@@ -153,26 +156,27 @@ class Engine:
         return out
 
     def retrieve_batch(self, questions: DataFrame, where: dict | None = None, recall: int = 0, top_n: int = 0) -> DataFrame:
-        """(query_id, rank, chunk_id, doc_id, idx, score, dense, sparse, content, meta) for questions(query_id, question[, history])."""
+        """(query_id, rank, chunk_id, doc_id, idx, score, dense, sparse, content, context, meta) for questions(query_id, question[, history])."""
         recall = recall if recall > 0 else self.recall
         top_n = top_n if top_n > 0 else self.top_n
         if self.store.chunks() is None:
-            return self.spark.createDataFrame([], "query_id string, rank int, chunk_id string, doc_id string, idx int, score double, dense double, sparse double, content string, meta map<string,struct<t:string,s:string,d:double,b:boolean>>")
+            return self.spark.createDataFrame([], "query_id string, rank int, chunk_id string, doc_id string, idx int, score double, dense double, sparse double, content string, context string, meta map<string,struct<t:string,s:string,d:double,b:boolean>>")
         rows, searches = self.searches(questions)
         fused = fuse.fuse_or_keep(self.hits(searches, where, recall), self.fusion, recall)
         held = self.store.chunks()
         if self.reranker is not None:
             text = fused.join(held.select("chunk_id", "content", "context", "embedding"), "chunk_id").join(rows.select("query_id", rw.current().alias("question")), "query_id")
+            text = text.withColumn("index_text", tx.index_text(F.col("context"), F.col("content")))
             best = self.reranker(text, top_n).select("query_id", "chunk_id", "rank", "score")
             fused = best.join(fused.select("query_id", "chunk_id", "dense", "sparse"), ["query_id", "chunk_id"])
         else:
             fused = cut(fused, top_n)
         # Contents join the few rows that are left, not the candidates.
-        out = fused.join(held.select("chunk_id", "doc_id", "idx", "content", "meta"), "chunk_id")
+        out = fused.join(held.select("chunk_id", "doc_id", "idx", "content", "context", "meta"), "chunk_id")
         if self.expander is not None:
             wide = self.expander(out.select("query_id", "rank", "chunk_id", "doc_id", "idx", "score", "content"), held)
-            out = wide.join(out.select("query_id", "chunk_id", "dense", "sparse", "meta"), ["query_id", "chunk_id"])
-        return out.select("query_id", "rank", "chunk_id", "doc_id", "idx", "score", "dense", "sparse", "content", "meta")
+            out = wide.join(out.select("query_id", "chunk_id", "dense", "sparse", "context", "meta"), ["query_id", "chunk_id"])
+        return out.select("query_id", "rank", "chunk_id", "doc_id", "idx", "score", "dense", "sparse", "content", "context", "meta")
 
     def retrieve(self, question: str, *, where: dict | None = None, history: list[tuple[str, str]] = (), recall: int = 0, top_n: int = 0, cancelled: Callable[[], bool] = lambda: False) -> Answer:
         if not question or not question.strip():
@@ -201,7 +205,9 @@ class Engine:
                 got = engine._settled(rows).retrieve_batch(rows, where, recall, top_n).orderBy("rank").collect()
         METRICS.count("queries")
         if not got:
-            raise NoResults()
+            nothing = NoResults()
+            nothing.answer = answer  # workflows go on with the question as rewritten and its searches
+            raise nothing
         answer.retrieved = got
         return answer
 
@@ -219,6 +225,12 @@ class Engine:
     def prompts(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
         return pr.build_prompts(questions, hits, self.max_tokens, self.system)
 
+    def prompt_for(self, question: str, history, hits: list) -> tuple[Any, dict]:
+        """(prompt and ids of its sources, hits by id) of one question; hits are taken in the order they have."""
+        asked = self.spark.createDataFrame([("q", question, [{"role": r, "content": c} for r, c in history])], "query_id string, question string, history array<struct<role:string,content:string>>")
+        rows = self.spark.createDataFrame([("q", i, h["chunk_id"], h["content"]) for i, h in enumerate(hits, 1)], "query_id string, rank int, chunk_id string, content string")
+        return self.prompts(asked, rows).first(), {h["chunk_id"]: h for h in hits}
+
     def query_iter(self, question: str, **options) -> tuple[Answer, Iterator[str]]:
         """Retrieval at once; tokens as they are asked for. The answer's text grows with them."""
         if not question or not question.strip():
@@ -226,10 +238,7 @@ class Engine:
         if self.generator is None:
             raise MissingGenerator()
         answer = self.retrieve(question, **options)
-        asked = self.spark.createDataFrame([("q", answer.question, [{"role": r, "content": c} for r, c in options.get("history", ())])], "query_id string, question string, history array<struct<role:string,content:string>>")
-        hits = self.spark.createDataFrame([("q", int(r["rank"]), r["chunk_id"], r["content"]) for r in answer.retrieved], "query_id string, rank int, chunk_id string, content string")
-        made = self.prompts(asked, hits).first()
-        by_id = {r["chunk_id"]: r for r in answer.retrieved}
+        made, by_id = self.prompt_for(answer.question, options.get("history", ()), answer.retrieved)
         answer.sources = [by_id[i] for i in made["sources"]]
 
         def tokens() -> Iterator[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, else the context's own, else a local one.
+    """The folder every executor sees: spark.checkpoint.dir, else the context's own, else, on one machine, a temporary one.
 
-    Only a session without either setting (a test on one machine) gets a temporary folder.
+    Executors elsewhere would not see a folder of the driver's machine: without a setting that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestore-"))
     return context.getCheckpointDir().get()
 
@@ -31,10 +34,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_made: dict[str, SparkSession] = {}
+
+
+def release() -> None:
+    """Removes all tables written so far; to be called when nothing that reads them is still to run."""
+    while _made:
+        _remove(*reversed(_made.popitem()))
+
+
+atexit.register(release)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by release() or when the driver ends."""
     path = f"{shared_folder(spark)}/lodestore/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _made[path] = spark
     return path
 
 

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lodestore.errors import EmptySource
+from lodestore.errors import Conflict, EmptySource
 from lodestore.operators import chunking
 from lodestore.operators.context import breadcrumb, model_context, window
 from lodestore.schema import META, meta_value
@@ -203,3 +203,49 @@ def test_store_versions(spark, tmp_path):
     assert {r.term for r in other.postings().collect()} == {"pasta"}
     other.delete(spark.createDataFrame([("c",)], "chunk_id string"))
     assert other.chunks().count() == other.postings().count() == 0
+
+
+def test_store_grows_by_what_is_new(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"), most=3, keep=2)
+    store.upsert(table(spark, ("a", 0, "raft leader", "s1"), ("b", 1, "raft", "s1"), ("a", 0, "raft leader", "s1")))
+    assert sorted(r.chunk_id for r in store.chunks().collect()) == ["a", "b"]  # one row per id
+    assert {(r.term, r.chunk_id): r.tf for r in store.postings().collect()} == {("leader", "a"): 1, ("raft", "a"): 1, ("raft", "b"): 1}
+    first = store.segments()
+    store.replace_source("s1", table(spark, ("b", 1, "paxos", "s1"), ("d", 2, "quorum", "s1")))
+    assert store.segments()[:1] == first  # nothing is rewritten
+    assert {(r.chunk_id, r.content) for r in store.chunks().collect()} == {("b", "paxos"), ("d", "quorum")}
+    assert {r.term for r in store.postings().collect()} == {"paxos", "quorum"}
+    store.delete(spark.createDataFrame([("d",), (None,), ("no",)], "chunk_id string"))
+    store.upsert(table(spark, ("d", 2, "again", "s1")))  # the fourth segment: merged
+    assert len(store.segments()) == 1
+    assert {(r.chunk_id, r.content) for r in store.chunks().collect()} == {("b", "paxos"), ("d", "again")}
+    assert {r.term for r in store.postings().collect()} == {"paxos", "again"}
+    store.upsert(table(spark, ("e", 0, "new", "s2")))
+    store.upsert(table(spark, ("f", 0, "new", "s2")))
+    left = {f.name for f in (tmp_path / "store").iterdir() if f.name.startswith("s-")}
+    assert left == set(store.segments())  # segments of older versions are gone
+    assert store.compact() == store.version()
+    assert sorted(r.chunk_id for r in store.chunks().collect()) == ["b", "d", "e", "f"]
+
+
+def test_a_crash_before_publishing_changes_nothing_and_of_two_writers_one_fails(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    store.upsert(table(spark, ("a", 0, "raft", "s1")))
+    base = store.version()
+    segment = store._segment(table(spark, ("b", 0, "lost", "s1")), None)  # written, never published
+    assert ids(store.chunks()) == ["a"]
+    store.upsert(table(spark, ("c", 0, "kept", "s1")))
+    with pytest.raises(Conflict):
+        store._publish(base, [segment])
+    assert ids(store.chunks()) == ["a", "c"]
+    assert not [f.name for f in (tmp_path / "store" / "versions").iterdir() if "draft" in f.name and not f.name.endswith(".crc")]
+
+
+@pytest.mark.parametrize(("line", "want"), [("## Title ##", (2, "Title")), ("##", None), ("##\t", (2, "")), ("#x", None), ("    # x", None), ("   ###### deep # x", (6, "deep # x")), ("####### seven", None), ("# C#", (1, "C#")), ("# #", (1, "")), ("# end\r", (1, "end"))])
+def test_headings(line, want):
+    assert readers.heading_of(line) == want
+
+
+def test_html_text_keeps_what_is_no_tag():
+    assert readers.html_text("a <> b <b>c</b> d < e") == "a <> b c d < e"
+    assert [h[0] for h in readers.html_headings("<h1>a</h2> x <H3 id=1>b<h4>c</h3> <hr> <h2>open")] == [1, 3]
