@@ -287,8 +287,12 @@ def similar_classes(records: DataFrame, threshold: float = 0.8, shingle: int = 5
     sigs = prints.where(F.col("bands").isNotNull()).select("node", "sig", "n").dropDuplicates(["node"])
 
     keyed = prints.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
-    marks = frequent_keys(prints).withColumn("frequent", F.lit(True))
-    keyed = keyed.join(marks, "key", "left")
+    marks = written(frequent_keys(prints).withColumn("frequent", F.lit(True)), "frequent")
+    some = marks.count()
+    if some > 500_000:  # too many to send to every executor
+        keyed = keyed.join(marks, "key", "left")
+    else:
+        keyed = keyed.join(F.broadcast(marks), "key", "left") if some else keyed.withColumn("frequent", F.lit(None).cast("boolean"))
     often = keyed.where("frequent").select("key", "node")
     ordered = keyed.where("frequent IS NULL").select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", "node")
     found = written(ordered.mapInArrow(_runs, "a bigint, b bigint, key bigint"), "candidates")
