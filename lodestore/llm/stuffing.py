@@ -104,7 +104,7 @@ class _Codes(dict):
         if "<" in text or "[" in text:
             text = _TAG.sub(lambda m: " " + " ".join(_LINK.findall(m[0])) + " ", text)
         got = _TERM.findall(text.lower())
-        at = np.fromiter((self[t] for t in got), np.int64, len(got))
+        at = np.fromiter(map(self.__getitem__, got), np.int64, len(got))
         width = self.width[at]
         if "\0" in self:
             links = np.flatnonzero(at == self["\0"])
@@ -210,27 +210,28 @@ def regular(codes: np.ndarray, free: np.ndarray, limits: Limits) -> np.ndarray:
     out = np.zeros(n, bool)
     if n < 4:
         return out
-    order = np.lexsort((np.arange(n), codes))
+    order = np.argsort(codes, kind="stable")
+    ranked = codes[order]
     gap = np.zeros(n, np.int64)  # to the last place of the same term, 0: none
-    same = codes[order][1:] == codes[order][:-1]
-    gap[order[1:]] = np.where(same, np.diff(order), 0)
+    gap[order[1:]] = np.where(ranked[1:] == ranked[:-1], order[1:] - order[:-1], 0)
     gap[free] = 0
-    # a term at close gaps, several times on end
-    close = np.concatenate([(gap[order] > 0) & (gap[order] <= limits.close), [False]])
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], close.astype(np.int8)])))
-    starts, ends = edge[::2], edge[1::2]
-    long = ends - starts >= limits.runs
+    counts = np.bincount(np.minimum(gap, _LAGS + 1), minlength=_LAGS + 2)
     mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, order[starts[long] - 1], 1)
-    np.add.at(mark, order[ends[long] - 1] + 1, -1)
+    # a term at close gaps, several times on end
+    if counts[1 : limits.close + 1].sum() >= limits.runs:
+        near = gap[order]
+        close = np.concatenate([[False], (near > 0) & (near <= limits.close), [False]])
+        edge = np.flatnonzero(close[1:] != close[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        long = ends - starts >= limits.runs
+        mark += np.bincount(order[starts[long] - 1], minlength=n + 1) - np.bincount(order[ends[long] - 1] + 1, minlength=n + 1)
     # a lag at which half of a window comes back
-    counts = np.bincount(np.minimum(gap, _LAGS + 1), minlength=_LAGS + 2)
-    for lag in np.flatnonzero(counts[1 : _LAGS + 1] >= 4) + 1:
+    lags = np.arange(1, _LAGS + 1)
+    for lag in lags[2 * counts[1 : _LAGS + 1] >= np.minimum(n, np.maximum(2 * lags, 16))]:
         size = min(n, max(2 * int(lag), 16))
         sums = np.concatenate([[0], np.cumsum(gap == lag)])
         full = np.flatnonzero(2 * (sums[size:] - sums[:-size]) >= size)
-        np.add.at(mark, np.maximum(full - lag, 0), 1)
-        np.add.at(mark, full + size, -1)
+        mark += np.bincount(np.maximum(full - lag, 0), minlength=n + 1) - np.bincount(full + size, minlength=n + 1)
     return np.cumsum(mark[:n]) > 0
 
 
@@ -240,10 +241,8 @@ def flowing(function: np.ndarray, gap: int) -> np.ndarray:
     ends = np.concatenate([[-1], np.flatnonzero(function), [n]])
     if len(ends) == 2:
         return np.zeros(n, bool)
-    near = np.diff(ends) <= gap
-    mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, np.maximum(ends[:-1][near], 0), 1)
-    np.add.at(mark, np.minimum(ends[1:][near] + 1, n), -1)
+    near = ends[1:] - ends[:-1] <= gap
+    mark = np.bincount(np.maximum(ends[:-1][near], 0), minlength=n + 1) - np.bincount(np.minimum(ends[1:][near] + 1, n), minlength=n + 1)
     return np.cumsum(mark[:n]) > 0
 
 
