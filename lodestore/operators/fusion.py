@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import min_max, sigmoid, top_k
+from ..sources.shared import written
 
 Fusion = Callable[[DataFrame, int], DataFrame]
 
@@ -55,8 +56,18 @@ def convex_pair(hits: DataFrame, limit: int, alpha: float) -> DataFrame:
     return convex(alpha)(hits, limit)
 
 
+def rrf_pair(dense: DataFrame, sparse: DataFrame, limit: int, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of a vector list and a BM25 list per query; no limit, no rows."""
+    both = label(dense, True).unionByName(label(sparse, False))
+    return rrf(k)(both, limit) if limit > 0 else rrf(k)(both.limit(0), 1)
+
+
 def fuse_or_keep(hits: DataFrame, fusion: Fusion, limit: int) -> DataFrame:
-    """Fusion, except that the only list of a query is taken as it is, with its raw scores."""
+    """Fusion, except that the only list of a query is taken as it is, with its raw scores.
+
+    The lists are read three times and are few next to what made them, so they are written once.
+    """
+    hits = written(hits, "lists")
     lists = hits.groupBy("query_id").agg(F.count_distinct("search_no", "is_dense").alias("lists"))
     marked = hits.join(lists, "query_id")
     many = fusion(marked.where("lists > 1").drop("lists"), limit)

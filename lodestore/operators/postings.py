@@ -68,13 +68,16 @@ def _best_of_block(q: pd.DataFrame, x: pd.DataFrame, key: str, k: int, at_once:
 
     Scores add up in a table of `at_once` queries by the block's chunks, one outer product per term.
     """
-    terms, code = np.unique(q["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
-    own = pd.Index(terms).get_indexer(x["term"].to_numpy(dtype=object))
-    x = x.assign(_t=own)[own >= 0]
-    keys, chunk = np.unique(x[key].to_numpy(dtype=object), return_inverse=True)
-    order = np.argsort(x["_t"].to_numpy(), kind="stable")
+    terms, code = np.unique(q["t"].to_numpy(np.int64), return_inverse=True)
+    held = x["t"].to_numpy(np.int64)
+    own = np.minimum(np.searchsorted(terms, held), len(terms) - 1)
+    here = terms[own] == held
+    own, x = own[here], x[here]
+    values = x[key].to_numpy()
+    keys, chunk = np.unique(values.astype(object) if values.dtype == object else values, return_inverse=True)
+    order = np.argsort(own, kind="stable")
     part, chunk = x["part"].to_numpy(np.float64)[order], chunk[order]
-    ends = np.searchsorted(x["_t"].to_numpy()[order], np.arange(len(terms) + 1))
+    ends = np.searchsorted(own[order], np.arange(len(terms) + 1))
     asking = q["q"].to_numpy(np.int64)
     queries, row = np.unique(asking, return_inverse=True)
     weight = q["w"].to_numpy(np.float64)
@@ -116,8 +119,10 @@ def search_sparse(searches: DataFrame, postings: DataFrame, n: int, avgdl: float
         return searches.sparkSession.createDataFrame([], f"query_id {searches.schema['query_id'].dataType.simpleString()}, search_no int, {key} {kind}, sparse double, rank int")
     numbers = written(searches.select("query_id", "search_no").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
     asked = query_terms(searches, tokenizer)
-    used = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = term_stats(used).select("term", idf(float(n), F.col("df")).alias("idf"))
+    # The terms asked for that the index holds, numbered, with their weights: from here on no string of a term travels.
+    weights = term_stats(postings.join(asked.select("term").distinct(), "term", "left_semi")).select("term", idf(float(n), F.col("df")).alias("idf"))
+    weights = written(weights.withColumn("t", F.monotonically_increasing_id()), "terms")
+    used = postings.join(weights.select("term", "t"), "term")
     if where and chunks is not None:
         used = used.join(chunks.where(compile_filter(where, F.col("meta"))).select(key), key, "left_semi")
     spread = searches.sparkSession.sparkContext.defaultParallelism
@@ -126,8 +131,8 @@ def search_sparse(searches: DataFrame, postings: DataFrame, n: int, avgdl: float
     grid = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     tf = F.col("tf").cast("double")
     part = tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl))))
-    right = used.select("term", key, part.alias("part"), F.pmod(F.xxhash64(key), F.lit(xb)).cast("int").alias("i"), grid(qb).alias("j"))
-    left = asked.join(numbers, ["query_id", "search_no"]).join(weights, "term").select("q", "term", (F.col("qtf") * F.col("idf")).alias("w"), F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("j"), grid(xb).alias("i"))
+    right = used.select((F.col("t") + 0).alias("t"), key, part.alias("part"), F.pmod(F.xxhash64(key), F.lit(xb)).cast("int").alias("i"), grid(qb).alias("j"))
+    left = asked.join(numbers, ["query_id", "search_no"]).join(weights, "term").select("q", (F.col("t") + 0).alias("t"), (F.col("qtf") * F.col("idf")).alias("w"), F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("j"), grid(xb).alias("i"))
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):

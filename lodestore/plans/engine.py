@@ -23,6 +23,7 @@ from ..operators.postings import index_stats, search_sparse
 from ..operators.rerank import cut
 from ..sources.shared import written
 from ..sources.readers import read_files, with_meta
+from ..sources.remote import search_remote
 from ..sources.tables import Store
 from .observe import METRICS, Tracer, stage
 
@@ -40,10 +41,15 @@ class Answer:
 
 @dataclass
 class Engine:
-    """Numbers that are not positive stand for their defaults, as in every option here; transform_timeout (seconds per model call) then means no limit."""
+    """Numbers that are not positive stand for their defaults, as in every option here; transform_timeout (seconds per model call) then means no limit.
+
+    vector_store: a remote store (sources.remote) that is searched by vector in place of the store's own chunks. It gets
+    the chunks before they are published, so that a failure there publishes nothing; texts and postings stay in the store.
+    """
 
     store: Store
     embedder: Embedder | None = None
+    vector_store: Any = None
     use_dense: bool = True
     use_sparse: bool = True
     chunker: Callable[[DataFrame], DataFrame] | None = None
@@ -117,6 +123,10 @@ class Engine:
             n = made.count()
             if not n:
                 raise NoChunks()
+            if self.vector_store is not None:
+                if replace:
+                    self.vector_store.delete_source(replace, [r["chunk_id"] for r in made.select("chunk_id").toLocalIterator()])
+                self.vector_store.upsert_partitions(made.where(F.col("embedding").isNotNull()))
             if replace:
                 self.store.replace_source(replace, made)
             else:
@@ -125,6 +135,8 @@ class Engine:
             return n
 
     def delete_source(self, source: str) -> None:
+        if self.vector_store is not None:
+            self.vector_store.delete_source(source)
         self.store.delete_source(source)
 
     # ---- retrieval ------------------------------------------------------------------------------------------------
@@ -144,7 +156,11 @@ class Engine:
         lists = []
         if self.use_dense:
             vectors = embed_searches(searches, self.embedder, self.embed_batch, self.embed_workers)
-            lists.append(fuse.label(search_dense(vectors, chunks, recall, where=where, floor=self.min_dense_score), True))
+            if self.vector_store is not None:
+                found = search_remote(vectors, self.vector_store, recall, where, self.min_dense_score)
+            else:
+                found = search_dense(vectors, chunks, recall, where=where, floor=self.min_dense_score)
+            lists.append(fuse.label(found, True))
         if self.use_sparse:
             index = self.store.postings()
             n, avgdl = index_stats(index, chunks)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..errors import EmptySource
@@ -175,3 +176,21 @@ class QdrantStore(_Sink):
     def _row(p: dict) -> dict:
         load = p.get("payload") or {}
         return {"chunk_id": p["id"], "content": load.get("content", ""), "doc_id": load.get("document_id", ""), "idx": int(load.get("chunk_index", 0)), "meta": load.get("metadata") or {}}
+
+
+def search_remote(searches: DataFrame, store, k: int, where: dict | None = None, floor: float = 0.0) -> DataFrame:
+    """(query_id, search_no, chunk_id, dense, rank) for searches(query_id, search_no, vector), asked of a remote store.
+
+    One request per search, from the tasks that hold the searches; floor > 0 drops weaker hits before ranks are given.
+    """
+    kind = searches.schema["query_id"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for q, s, v in zip(pdf["query_id"], pdf["search_no"], pdf["vector"]):
+                hits = [h for h in store.search(list(v), k, where) if floor <= 0 or h["dense"] >= floor] if v is not None else []
+                out += [(q, s, h["chunk_id"], float(h["dense"]), i) for i, h in enumerate(hits[:k], 1)]
+            yield pd.DataFrame(out, columns=["query_id", "search_no", "chunk_id", "dense", "rank"])
+
+    return searches.select("query_id", "search_no", "vector").mapInPandas(run, f"query_id {kind}, search_no int, chunk_id string, dense double, rank int")
